@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash, token_store
+from . import bpe, chat, exact_dedup, mixing, pii, quality, secrets, simhash, token_store
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
         "op4_token_store": token_store.op4_token_store,
+        "op5_chat": chat.op5_chat,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_secrets": secrets.op8_secrets,
+        "op9_pii": pii.op9_pii,
         "op10_bpe": bpe.op10_bpe,
     }
 
@@ -18,5 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.ORACLE,
+        "op2_quality": quality.ORACLE,
+        "op5_chat": chat.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
     }
