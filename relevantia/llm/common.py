@@ -59,8 +59,8 @@ def unpack(df: DataFrame, names: list[str], results: list[str]) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z, nothing else."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z to a-z, nothing else. Texts without other letters take the faster way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def text_of(df: DataFrame, text_col: str) -> Column:

@@ -59,12 +59,14 @@ def _judged(df: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_fi
         words *= 2
     norm = ascii_lower(text_of(df, text_col))
     bits = staged(repeated_filter(df.select(F.xxhash64(norm).alias("h")), words), "dedup-filter").scalar()
-    rows = payload(df, id=df[id_col], norm=norm, h=F.xxhash64(norm))
+    # A filter does not move below a projection that numbers rows, so each row is normalised and hashed once.
+    rows = payload(df, id=df[id_col], norm=norm, nth=F.monotonically_increasing_id()).withColumn("h", F.xxhash64("norm"))
     maybe = F.get(bits, _word(F.col("h"), words).cast("int")).bitwiseAND(_mask(F.col("h"))) == _mask(F.col("h"))
     sha = F.sha2("norm", 256).alias("text_sha256")
-    alone = rows.where(~maybe).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
-    again = staged(rows.where(maybe).select("row", "id", sha, F.monotonically_increasing_id().alias("nth")), "dedup-maybe")
-    groups = again.groupBy("text_sha256").agg(F.max(F.struct("id", "nth")).alias("keep"), F.count("*").alias("group_size"))
+    alone = rows.where(~maybe & (F.col("nth") >= 0)).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+    again = staged(rows.where(maybe & (F.col("nth") >= 0)).select("row", "id", sha, "nth"), "dedup-maybe")
+    # Written, so that the join has a plain exchange on either side: then a hot group's rows can be split over tasks.
+    groups = staged(again.groupBy("text_sha256").agg(F.max(F.struct("id", "nth")).alias("keep"), F.count("*").alias("group_size")), "dedup-groups")
     judged = again.join(groups, "text_sha256").select("row", F.col("keep.id").alias("keep_id"), "group_size", (F.col("nth") == F.col("keep.nth")).alias("kept"), "text_sha256")
     return alone.unionByName(judged)
 
