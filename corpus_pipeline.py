@@ -1,3 +1,56 @@
-STAGES = []
+"""The training-data pipeline: quality rules, exact and near duplicates, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. run() writes what a stage
+returns as Parquet in the shared folder and reads it back for the next one. All stages
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from relevantia.llm import bpe, common, exact_dedup, mixing, quality, simhash
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.quality_filter(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (linked fingerprints) the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it, dealt to shards and shuffled there."""
+    return mixing.mix(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text, one row per document of the mixture."""
+    return bpe.bpe_digests(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+#: The fingerprints, the splitting tree and the tokenizer have no SQL form: tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, pii, quality, secrets, simhash, token_store
+from . import bpe, chat, exact_dedup, licenses, mixing, pii, quality, secrets, simhash, token_store
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_simhash": simhash.op3_simhash,
         "op4_token_store": token_store.op4_token_store,
         "op5_chat": chat.op5_chat,
+        "op6_licenses": licenses.op6_licenses,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_secrets": secrets.op8_secrets,
         "op9_pii": pii.op9_pii,
