@@ -20,8 +20,11 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +40,7 @@ _LETTERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "N")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The words kept between batches; the table starts anew beyond it. Results do not depend on it.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def word_file() -> str:
@@ -104,7 +107,7 @@ class WordBpe:
                 ends.setdefault(t[-3:], {1, 2}).add(len(t))
         self._lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self._apart_known: dict[tuple[int, int], bool] = {}
-        self._kept: dict[str, tuple[list[int], str]] = {}
+        self._kept: dict[Any, dict[str | int, Any]] = {}
 
     @staticmethod
     def _ended(letter: str) -> str:
@@ -200,26 +203,27 @@ class WordBpe:
                 out.extend(self.words(part))
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[str | int]]:
-        """pieces() of each text, all their words being in the table afterwards."""
+    def encode_batch(self, texts: list[str], form: Callable[[list[int]], Any], keep: int = KEPT_WORDS) -> list[list[Any]]:
+        """For each text what ``form`` makes of its pieces' ids, piece by piece; once for each word of the table."""
         cut = [self.pieces(t) for t in texts]
-        if len(self._kept) > KEPT_WORDS:
-            self._kept = {}
-        new = {w for c in cut for w in c if w.__class__ is str} - self._kept.keys()
-        if new:
-            for word, ids in self.encode_words(sorted(new)).items():
-                self._kept[word] = (ids, " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
-        for i in {w for c in cut for w in c if w.__class__ is int}:
-            self._kept[i] = ([i], str(i), self.tokens[i])
-        return cut
+        kept = self._kept.setdefault(form, {})
+        distinct = set().union(*cut)
+        new = distinct - kept.keys()
+        if len(kept) + len(new) > keep:
+            kept = self._kept[form] = {w: kept[w] for w in distinct & kept.keys()}
+        for i in [w for w in new if w.__class__ is int]:
+            kept[i] = form([i])
+            new.discard(i)
+        for word, ids in self.encode_words(new).items():
+            kept[word] = form(ids)
+        return [[kept[w] for w in c] for c in cut]
 
     def encode(self, text: str) -> list[int]:
-        kept = self._kept
-        return [i for c in self.encode_batch([text]) for w in c for i in kept[w][0]]
+        return [i for ids in self.encode_batch([text], list)[0] for i in ids]
 
-    def ids(self, cut: list[str | int]) -> list[int]:
-        kept = self._kept
-        return [i for w in cut for i in kept[w][0]]
+    def shown(self, ids: list[int]) -> tuple[int, str, str]:
+        """Count, decimal ids and tokens of a word."""
+        return len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the file has no decoder: tokens joined by spaces, unknown ids left out."""
@@ -233,10 +237,9 @@ def loaded(path: str) -> WordBpe:
 
 def chunks(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows with about so many characters, by first row."""
-    column_ = batch.column(batch.schema.get_field_index(column))
     start, size, out = 0, 0, []
-    for n, x in enumerate(column_):
-        text = x.as_py() or ""
+    for n, text in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
+        text = text or ""
         out.append(text)
         size += len(text)
         if size >= chars:
@@ -246,6 +249,17 @@ def chunks(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterat
         yield start, out
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def id_lists(bpe: WordBpe, texts: list[str], end: bytes = b"") -> pa.ListArray:
+    """The ids of each text, and those in ``end`` after them, as an Arrow list array."""
+    found = [b"".join(x) + end for x in bpe.encode_batch(texts, packed, 3 * KEPT_WORDS)]
+    offsets = pa.array([0, *accumulate([len(x) // 4 for x in found])], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(map(len, found)) // 4, [None, pa.py_buffer(b"".join(found))]))
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -253,11 +267,10 @@ def _digests(path: str):
         for batch in batches:
             for start, texts in chunks(batch, "text"):
                 rows = []
-                for cut in bpe.encode_batch(texts):
-                    found = [bpe._kept[w] for w in cut]
+                for found in bpe.encode_batch(texts, bpe.shown):
                     ids = " ".join([x[1] for x in found])
                     decoded = " ".join([x[2] for x in found])
-                    rows.append((sum([len(x[0]) for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    rows.append((sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                 cols = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *cols], [batch.schema.field(0).name, *schema.names])
 
@@ -281,8 +294,7 @@ def _encode(path: str):
         bpe = loaded(path)
         for batch in batches:
             for start, texts in chunks(batch, "text"):
-                ids = [bpe.ids(c) for c in bpe.encode_batch(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(ids, pa.list_(pa.int32()))], [batch.schema.field(0).name, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), id_lists(bpe, texts)], [batch.schema.field(0).name, "ids"])
 
     return run
 
