@@ -164,7 +164,7 @@ def mix_report(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """
     sizes = _sizes(df, id_col, source_col, text_col, seed)
     out = _with_plan(sizes, source_plan(sizes, n_shards, seed=seed, weights=weights))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "shards")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int = 64, seed: int = 7, weights=WEIGHTS) -> DataFrame:
@@ -180,7 +180,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("shards")
 
 
 ORACLE = """
