@@ -32,7 +32,7 @@ from .common import payload, staged, table, text_of, unpack
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: The trees are fitted on so many distinct fingerprints at most; every fingerprint is routed and compared.
+#: The trees are fitted on about so many distinct fingerprints (all, if there are fewer); every fingerprint is routed and compared.
 SAMPLE = 65_536
 #: Distinct fingerprints that a shard should have about.
 SHARD = 2048
@@ -219,7 +219,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE) -> Da
     if not 0 <= radius <= 3:
         raise ValueError("two halves searched with radius one find pairs of at most three bits")
     n = distinct.count()
-    drawn = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
+    # Drawn by hash below a bound, so that no task sends more than its share of the sample.
+    some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < (1 << 32) * sample // n) if n > sample else distinct
+    drawn = np.sort(np.array([r[0] for r in some.select("fp").collect()], np.int64)).view(np.uint64)
+    drawn = np.random.default_rng(SEED).permutation(drawn)
     leaf = SHARD * len(drawn) / max(n, 1)
     trees = [build_tree((drawn >> np.uint64(s)).astype(np.uint32), 1, leaf) for s in _HALVES]
     shards = distinct.select("fp").mapInArrow(_routed(trees), "shard int, fp long")
