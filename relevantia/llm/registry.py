@@ -25,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": mixing.ORACLE,
         "op2_quality": quality.ORACLE,
         "op5_chat": chat.ORACLE,
+        "op6_licenses": licenses.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
     }
