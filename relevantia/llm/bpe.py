@@ -23,9 +23,10 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, filterfalse
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,11 +76,16 @@ class WordBpe:
         self.end: str = model["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self._normal = Tokenizer.from_file(path).normalizer.normalize_str
+        self._library = Tokenizer.from_file(path)
+        self._library.no_truncation()
+        self._library.no_padding()
+        self._normal = self._library.normalizer.normalize_str
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         if pattern != _PATTERN:
             raise ValueError(f"another cut pattern than {_PATTERN}: {pattern}")
-        self._cut = re.compile(_PATTERN.replace(r"[\p{L}]", f"[{_LETTERS}]").replace(r"[\p{N}]", f"[{_NUMBERS}]").replace(r"\p{L}\p{N}", _LETTERS + _NUMBERS)).findall
+        # Letters first: no other alternative begins with one.
+        own = r"[\p{L}]+|" + _PATTERN.replace(r"[\p{L}]+|", "")
+        self._cut = re.compile(own.replace(r"[\p{L}]", f"[{_LETTERS}]").replace(r"[\p{N}]", f"[{_NUMBERS}]").replace(r"\p{L}\p{N}", _LETTERS + _NUMBERS)).findall
         self._library_cut = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self._split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self._letters = _byte_letters()
@@ -108,6 +114,7 @@ class WordBpe:
         self._lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self._apart_known: dict[tuple[int, int], bool] = {}
         self._kept: dict[Any, dict[str | int, Any]] = {}
+        self._ends: np.ndarray | None = None
 
     @staticmethod
     def _ended(letter: str) -> str:
@@ -203,20 +210,46 @@ class WordBpe:
                 out.extend(self.words(part))
         return out
 
-    def encode_batch(self, texts: list[str], form: Callable[[list[int]], Any], keep: int = KEPT_WORDS) -> list[list[Any]]:
-        """For each text what ``form`` makes of its pieces' ids, piece by piece; once for each word of the table."""
+    def library_bytes(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The packed ids of each distinct word, by the tokenizers library: words in a row, parted by spaces; each ends in a token with the end mark."""
+        if self._ends is None:
+            self._ends = np.zeros(max(self.tokens) + 1, bool)
+            self._ends[[i for t, i in self.vocab.items() if t.endswith(self.end)]] = True
+        out, every = {}, list(words)
+        for at in range(0, len(every), 4096):
+            some = every[at : at + 4096]
+            ids = np.array(self._library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<i4")
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the library cuts words otherwise")
+            data = ids.tobytes()
+            out.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        return out
+
+    def encode_batch(self, texts: list[str], form: Callable[[list[int]], Any], keep: int = KEPT_WORDS, library: bool = False) -> list[list[Any]]:
+        """For each text what ``form`` makes of its pieces' ids, piece by piece; once for each word of the table.
+
+        library: words by library_bytes() instead of the trie; form is then packed().
+        """
         cut = [self.pieces(t) for t in texts]
         kept = self._kept.setdefault(form, {})
-        distinct = set().union(*cut)
-        new = distinct - kept.keys()
+        found = [list(map(kept.get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
+        new = {c[i] for c, gap in zip(cut, gaps) for i in gap}
         if len(kept) + len(new) > keep:
-            kept = self._kept[form] = {w: kept[w] for w in distinct & kept.keys()}
+            kept.clear()
         for i in [w for w in new if w.__class__ is int]:
             kept[i] = form([i])
             new.discard(i)
-        for word, ids in self.encode_words(new).items():
-            kept[word] = form(ids)
-        return [[kept[w] for w in c] for c in cut]
+        if library:
+            kept.update(self.library_bytes(new))
+        else:
+            for word, ids in self.encode_words(new).items():
+                kept[word] = form(ids)
+        for c, f, gap in zip(cut, found, gaps):
+            for i in gap:
+                f[i] = kept[c[i]]
+        return found
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_batch([text], list)[0] for i in ids]
@@ -253,9 +286,9 @@ def packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def id_lists(bpe: WordBpe, texts: list[str], end: bytes = b"") -> pa.ListArray:
-    """The ids of each text, and those in ``end`` after them, as an Arrow list array."""
-    found = [b"".join(x) + end for x in bpe.encode_batch(texts, packed, 3 * KEPT_WORDS)]
+def id_lists(bpe: WordBpe, texts: list[str], end: bytes = b"", library: bool = False) -> pa.ListArray:
+    """The ids of each text, and those in ``end`` after them, as an Arrow list array; words by the trie or by the library."""
+    found = [b"".join(x) + end for x in bpe.encode_batch(texts, packed, 3 * KEPT_WORDS, library)]
     offsets = pa.array([0, *accumulate([len(x) // 4 for x in found])], pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(map(len, found)) // 4, [None, pa.py_buffer(b"".join(found))]))
 
