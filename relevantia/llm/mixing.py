@@ -30,6 +30,8 @@ MAX_REPEAT = 3
 #: Up to so many sources their table (about 1 kB a row at most) is broadcast; more are joined by key.
 BROADCAST_SOURCES = 10_000
 BUCKETS = 4096
+#: Shards grow with the mixture, between these numbers: about so many words each.
+WORDS_PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 16_000_000, 64, 4096
 RESULTS = ["size", "source_size", "target", "taken", "shards"]
 
 
@@ -154,25 +156,33 @@ def _sizes(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int
     return staged(t.select("id", "source", _key(F.col("source")).alias("skey"), "size", h.alias("h"), _bucket(h).alias("bucket")), "mix-sizes")
 
 
-def mix_report(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int = 64, seed: int = 7, weights=WEIGHTS) -> DataFrame:
+def shards_for(sizes: DataFrame) -> int:
+    """How many shards a mixture of these sizes is dealt to; its words are as many as the input's."""
+    words = sizes.agg(F.sum("size")).first()[0] or 0
+    return min(max(LEAST_SHARDS, words // WORDS_PER_SHARD), MOST_SHARDS)
+
+
+def mix_report(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int | None = None, seed: int = 7, weights=WEIGHTS) -> DataFrame:
     """One row per row of df: id, ``size`` in words, ``source_size, target, taken`` (words, repeats counted) and ``shards`` of its copies.
 
     A null text has size 0; a null source is a source of its own; null ids are
     ordered as empty strings. Rows that repeat an id stand together in the order and are
     taken alike. A source without words has target 0. An empty table gives an empty
-    result. Other columns of df are not carried.
+    result. Other columns of df are not carried. Without n_shards see shards_for().
     """
     sizes = _sizes(df, id_col, source_col, text_col, seed)
-    out = _with_plan(sizes, source_plan(sizes, n_shards, seed=seed, weights=weights))
+    out = _with_plan(sizes, source_plan(sizes, n_shards or shards_for(sizes), seed=seed, weights=weights))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int = 64, seed: int = 7, weights=WEIGHTS) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int | None = None, seed: int = 7, weights=WEIGHTS) -> DataFrame:
     """The mixture itself: df's rows with df's columns, each as often as it is taken, dealt to shards and shuffled within them.
 
     One output partition holds whole shards. Cases as in mix_report().
     """
-    plan = source_plan(_sizes(df, id_col, source_col, text_col, seed), n_shards, seed=seed, weights=weights)
+    sizes = _sizes(df, id_col, source_col, text_col, seed)
+    n_shards = n_shards or shards_for(sizes)
+    plan = source_plan(sizes, n_shards, seed=seed, weights=weights)
     rows = payload(df, id=df[id_col], skey=_key(df[source_col]), h=_order(seed, df[id_col]))
     out = _with_plan(rows, plan).select("row", "h", F.posexplode("shards").alias("nth", "shard"))
     out = out.repartition(n_shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "h", "nth"))
