@@ -47,7 +47,7 @@ def assign_batches(df: DataFrame, id_col: str, size: int, name: str = "batch", e
     n = df.groupBy(*within).agg(F.count("*").alias("_total")) if within else None
     out = positions(df, id_col, epoch, within)
     out = out.join(n, list(within)) if within else out.withColumn("_total", F.lit(df.count()))
-    b = F.least(F.lit(size), F.col("_total"))
+    b = F.greatest(F.lit(1), F.least(F.lit(size), F.col("_total")))
     return out.withColumn(name, F.floor(F.col("pos") / b).cast("long")).where(F.col(name) < F.floor(F.col("_total") / b)).drop("pos", "_total")
 
 

@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.info import knn_mi, preselect
 from ..operators.lasso import rank_features
 from ..operators.sampling import discretise, kind_of
 from ..operators.search import ami_metric, search
+from .selector import Selection, Selector, mi_scores, select
+
+__all__ = ["FeatureSelection", "LassoParameters", "SearchParameters", "Selection", "Selector", "categorical_select", "mi_scores", "select", "select_features"]
 
 
 @dataclass(frozen=True)
@@ -60,13 +62,9 @@ def select_features(df: DataFrame, target: list[str], id_col: str, lasso: LassoP
     out = FeatureSelection()
     continuous = [c for c, k in kinds.items() if k == "continuous"]
     if continuous and lasso.use_preselection:
-        scores = None
-        for t in target:
-            one = knn_mi(df, continuous, t, kind_of(dict(df.dtypes)[t]) == "discrete").withColumn("target", F.lit(t))
-            scores = one if scores is None else scores.unionByName(one)
-        rows = {r["feature"]: r for r in preselect(scores, lasso.mi_threshold).collect()}
-        out.mis = {f: r["total"] for f, r in rows.items()}
-        continuous = [f for f in continuous if rows[f]["kept"]]
+        rows = mi_scores(df, continuous, target, lasso.mi_threshold)
+        out.mis = {f: total for f, (total, _) in rows.items()}
+        continuous = [f for f in continuous if rows[f][1]]
     if continuous:
         ranked = rank_features(df, continuous, target, id_col, threshold=lasso.hsic_threshold, batch=lasso.batch, minibatch=lasso.minibatch, epochs=lasso.epochs)
         out.continuous = [r["feature"] for r in ranked.orderBy("rank").collect()]

@@ -49,8 +49,8 @@ def _mb(df: DataFrame, size: int = MB) -> DataFrame:
     return sampling.assign_batches(df, "id", size, "mb")
 
 
-def _mb_sql(of: str, size: int = MB) -> str:
-    return f"""p AS (SELECT *, row_number() OVER (ORDER BY {hash_order_sql('id')}, id) - 1 AS pos, count(*) OVER () AS n FROM {of}),
+def _mb_sql(of: str, size: int = MB, epoch: int = 0) -> str:
+    return f"""p AS (SELECT *, row_number() OVER (ORDER BY {hash_order_sql('id', epoch)}, id) - 1 AS pos, count(*) OVER () AS n FROM {of}),
 m AS (SELECT *, pos // least({size}, n) AS mb FROM p WHERE pos // least({size}, n) < n // least({size}, n))"""
 
 
@@ -244,7 +244,7 @@ def q_nlars_active(spark, d):
 
 
 def q_lasso_path_mean(spark, d):
-    return _rounded(lasso.mean_path(_path(spark)), "beta")
+    return _rounded(lasso.mean_path(_path(spark)), "beta").withColumn("step", F.col("step").cast("long"))
 
 
 def q_projection_matrix(spark, d):
@@ -328,6 +328,13 @@ r AS (SELECT feature, id, dz AS radius FROM (SELECT *, row_number() OVER (PARTIT
 n AS (SELECT d.feature, d.id, count(*) FILTER (dx < radius) AS nx, count(*) FILTER (dy < radius) AS ny FROM d JOIN r ON d.feature = r.feature AND d.id = r.id GROUP BY ALL),
 k AS (SELECT n.feature, greatest(0, (SELECT psi FROM h WHERE i = (SELECT count(*) FROM x)) + (SELECT psi FROM h WHERE i = 3) - avg(p.psi + q.psi)) AS mi
       FROM n JOIN h p ON p.i = greatest(nx, 1) JOIN h q ON q.i = greatest(ny, 1) GROUP BY n.feature)"""
+_ROSS = f"""y AS (SELECT id, e3, e17, e40, (e3 > e17)::INT AS y FROM x),
+l AS ({" UNION ALL ".join(f"SELECT '{e}' AS feature, id, {e} AS x, y FROM y" for e in E)}),
+d AS (SELECT a.feature, a.id, b.id AS j, a.y = b.y AS same, abs(a.x - b.x) AS dx FROM l a JOIN l b ON a.feature = b.feature),
+r AS (SELECT feature, id, dx AS radius FROM (SELECT *, row_number() OVER (PARTITION BY feature, id ORDER BY dx, j) AS rn FROM d WHERE same AND j <> id) WHERE rn = 3),
+n AS (SELECT d.feature, d.id, count(*) FILTER (same) AS c, count(*) FILTER (dx <= radius) - 1 AS m FROM d JOIN r ON d.feature = r.feature AND d.id = r.id GROUP BY ALL),
+k AS (SELECT n.feature, greatest(0, (SELECT psi FROM h WHERE i = (SELECT count(*) FROM x)) + (SELECT psi FROM h WHERE i = 3) - avg(p.psi) - avg(q.psi)) AS mi
+      FROM n JOIN h p ON p.i = c JOIN h q ON q.i = greatest(m, 1) GROUP BY n.feature)"""
 _HSIC = """s AS (SELECT i, sum(k) AS k, sum(l) AS l, sum(k * l) AS kl FROM g GROUP BY i)
 SELECT round((sum(kl) - 2.0 / count(*) * sum(k * l) + sum(k) * sum(l) / (count(*)::DOUBLE * count(*))) / (count(*)::DOUBLE * count(*)), 8) + 0.0 AS hsic FROM s"""
 
@@ -375,6 +382,9 @@ UNION ALL {joint(['label'], ", 'label'")}""",
         "hsic_b_mixed": f"WITH {X_SQL}, c AS (SELECT label, count(*) AS n FROM x GROUP BY label), g AS (SELECT a.id AS i, exp(-((a.e3 - b.e3) ** 2) / 2.0) AS k, CASE WHEN a.label = b.label THEN 1.0 / c.n ELSE 0 END::DOUBLE AS l FROM x a JOIN c ON a.label = c.label CROSS JOIN x b), {_HSIC}",
         "hsic_b_delta": f"WITH {O_SQL} SELECT round(product / ((SELECT count(*) FROM o)::DOUBLE * (SELECT count(*) FROM o)), 10) + 0.0 AS hsic FROM ({_delta_pairs(['status', 'nation'], ['priority']).replace('@', 'o')})",
         "hsic_matrix": f"WITH {O_SQL}, {_mb_sql('o', 500)} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum(product), 5) + 0.0 AS v FROM ({_delta_pairs([a], [b], 'mb').replace('@', 'm')})" for i, a in enumerate(names) for b in names[i:]),
+        "hsic_vector": f"""WITH {X_SQL}, {_mb_sql('x', 100, 1)}, {X_LONG}, {RBF_SQL}, {CENTRED}, y AS (SELECT mb, id, label, count(*) OVER (PARTITION BY mb, label) AS same FROM m)
+SELECT feature, round(sum(k / y.same), 5) + 0.0 AS v FROM c JOIN y ON c.mb = y.mb AND c.i = y.id JOIN y z ON c.mb = z.mb AND c.j = z.id AND y.label = z.label GROUP BY feature""",
+        "knn_mi_classif": f"WITH {X_SQL}, {_DIGAMMA}, {_ROSS} SELECT feature, round(mi, 6) + 0.0 AS mi FROM k",
         "mutual_info": f"{info_of(ONE)} SELECT feature, round(mi, 6) + 0.0 AS mi, round(hu, 6) + 0.0 AS hu, round(hv, 6) + 0.0 AS hv FROM mi JOIN hu USING (feature) JOIN hv USING (feature)",
         "expected_mi": f"{info_of(ONE)} SELECT feature, round(emi, 6) + 0.0 AS emi FROM emi",
         "ami_features": f"{info_of(ONE)} SELECT feature, round(ami, 6) + 0.0 AS ami FROM ami",
