@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649015329
@@ -18,11 +20,14 @@ def hash_order_sql(row_id: str, epoch: int = 0) -> str:
     return f"((({row_id}) % 2147483647) * {_MULTIPLIERS[epoch % len(_MULTIPLIERS)]}) % 4294967296"
 
 
-def running_log_factorial(spark: SparkSession, n: int) -> DataFrame:
-    """(k, lf) with lf = ln k! for k = 0..n, in chunks so that no window holds the whole range."""
-    size = 4096
-    ks = spark.range(n + 1).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.log(F.col("id").cast("double"))).otherwise(0.0).alias("ln"), F.floor(F.col("id") / size).alias("c"))
-    base = ks.groupBy("c").agg(F.sum("ln").alias("s"))
-    base = base.select("c", F.coalesce(F.sum("s").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    own = F.sum("ln").over(Window.partitionBy("c").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return ks.join(base, "c").select("k", (F.col("base") + own).alias("lf"))
+#: ln k! below the point from which Stirling's series is exact to double precision.
+_SMALL = [math.lgamma(k + 1) for k in range(16)]
+
+
+def log_factorial(k: Column) -> Column:
+    """ln k! of non-negative integers: a table of the first 16, then Stirling's series; no join, whatever the range."""
+    x = F.greatest(k, F.lit(len(_SMALL))).cast("double")
+    r = 1.0 / (x * x)
+    series = x * F.log(x) - x + 0.5 * F.log(2.0 * math.pi * x) + (1.0 / 12 - r * (1.0 / 360 - r * (1.0 / 1260 - r / 1680))) / x
+    table = F.array(*map(F.lit, _SMALL))
+    return F.when(k < len(_SMALL), F.get(table, F.least(k, F.lit(len(_SMALL) - 1)).cast("int"))).otherwise(series)

@@ -29,6 +29,16 @@ def delta_product(df: DataFrame, a: list[str], b: list[str], by: list[str] = ())
     return terms.groupBy(*by).agg((F.sum(F.col("nab") * F.col("nab") / (F.col("na") * F.col("nb").cast("double"))) - 1.0).alias("product"))
 
 
+def delta_matrix(df: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
+    """(*by, a, b, product): delta_product() of every pair of columns a <= b, from one scan."""
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("u"), F.col(b).cast("string").alias("v")) for i, a in enumerate(features) for b in features[i:]]
+    cells = df.select(*by, F.explode(F.array(*each)).alias("p")).groupBy(*by, "p.a", "p.b", "p.u", "p.v").agg(F.count("*").alias("nab"))
+    key = [*by, "a", "b"]
+    na, nb = cells.groupBy(*key, "u").agg(F.sum("nab").alias("na")), cells.groupBy(*key, "v").agg(F.sum("nab").alias("nb"))
+    terms = cells.join(na, [*key, "u"]).join(nb, [*key, "v"])
+    return terms.groupBy(*key).agg((F.sum(F.col("nab") * F.col("nab") / (F.col("na") * F.col("nb").cast("double"))) - 1.0).alias("product"))
+
+
 def gram(values: np.ndarray, kernel: str, scale: float) -> np.ndarray:
     """The Gram matrix of rows of values under one joint kernel."""
     if kernel == DELTA:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import EULER, running_log_factorial
+from ..functions import EULER, log_factorial
 from ..shipping import ship
 
 
@@ -32,23 +32,25 @@ def mutual_information(pairs: DataFrame) -> DataFrame:
 def expected_mi(pairs: DataFrame) -> DataFrame:
     """(feature, emi): the mean of MI over random tables with the same margins.
 
-    It depends on the sizes of classes only, so classes of equal size are counted first.
+    It depends on the sizes of classes only, so classes of equal size are counted first. Counts
+    20 deviations and 100 from their mean weigh less than double precision shows and are left out,
+    so that a cell of large classes has as many terms as its deviation is large.
     """
-    spark = pairs.sparkSession
     total = pairs.groupBy("feature").agg(F.sum("n").alias("t"))
     sizes = lambda c, s, m: pairs.groupBy("feature", c).agg(F.sum("n").alias(s)).groupBy("feature", s).agg(F.count("*").alias(m))
     cells = sizes("u", "a", "ma").join(sizes("v", "b", "mb"), "feature").join(total, "feature")
-    cells = cells.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("t")), F.least("a", "b"))).alias("k"))
-    most = pairs.agg(F.max("n")).first()[0]
-    n = total.agg(F.max("t")).first()[0]
-    if most is None:
-        return spark.createDataFrame([], "feature string, emi double")
-    lf = running_log_factorial(spark, n)
-    terms = {"a": F.col("a"), "b": F.col("b"), "t-a": F.col("t") - F.col("a"), "t-b": F.col("t") - F.col("b"), "t": F.col("t"), "k": F.col("k"), "a-k": F.col("a") - F.col("k"), "b-k": F.col("b") - F.col("k"), "r": F.col("t") - F.col("a") - F.col("b") + F.col("k")}
-    for i, at in enumerate(terms.values()):
-        cells = cells.withColumn("_at", at).join(lf.select(F.col("k").alias("_at"), F.col("lf").alias(f"lf{i}")), "_at").drop("_at")
-    log_p = F.col("lf0") + F.col("lf1") + F.col("lf2") + F.col("lf3") - F.col("lf4") - F.col("lf5") - F.col("lf6") - F.col("lf7") - F.col("lf8")
-    term = F.col("ma") * F.col("mb") * F.col("k") / F.col("t") * F.log(F.col("t") * F.col("k") / (F.col("a") * F.col("b").cast("double"))) * F.exp(log_p)
+    a, b, t, k = (F.col(c) for c in ("a", "b", "t", "k"))
+    mean = a.cast("double") * b / t
+    reach = 20.0 * F.sqrt(F.greatest(F.lit(0.0), mean * (1.0 - a / t) * (1.0 - b / t))) + 100.0
+    low = F.greatest(F.lit(1), a + b - t, F.floor(mean - reach).cast("long"))
+    high = F.least(a, b, F.ceil(mean + reach).cast("long"))
+    of_cell = log_factorial(a) + log_factorial(b) + log_factorial(t - a) + log_factorial(t - b) - log_factorial(t)
+    # Few rows that become many: dealt out by cell, to a given number of tasks, which are then not merged.
+    n_tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.select("*", of_cell.alias("of_cell"), low.alias("low"), high.alias("high")).repartition(n_tasks, "feature", "a", "b")
+    cells = cells.select("*", F.explode(F.sequence("low", "high")).alias("k"))
+    log_p = F.col("of_cell") - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k) - log_factorial(t - a - b + k)
+    term = F.col("ma") * F.col("mb") * k / t * F.log(t * k / (a * b.cast("double"))) * F.exp(log_p)
     return cells.groupBy("feature").agg(F.sum(term).alias("emi"))
 
 

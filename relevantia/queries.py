@@ -175,12 +175,8 @@ def q_hsic_b_mixed(spark, d):
 
 def q_hsic_matrix(spark, d):
     m = _mb(o_table(spark, d), 500)
-    names, out = ["status", "priority", "segment", "nation"], None
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            one = hsic.delta_product(m, [a], [b], ["mb"]).agg(F.sum("product").alias("v")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "v")
-            out = one if out is None else out.unionByName(one)
-    return _rounded(out, "v", digits=5)
+    products = hsic.delta_matrix(m, ["status", "priority", "segment", "nation"], ["mb"])
+    return _rounded(products.groupBy("a", "b").agg(F.sum("product").alias("v")), "v", digits=5)
 
 
 def q_hsic_vector(spark, d):
