@@ -1,11 +1,14 @@
 """Secret scans: three fixed patterns, and the token-efficiency test.
 
 A byte-pair vocabulary learnt from ordinary text writes ordinary strings with few
-tokens and random ones with many. A candidate is a run of key-like characters that has
-letters and digits; it is a secret (kind ``random``) if it has at most
-MAX_CHARS_PER_TOKEN characters for each token of the vocabulary, unless it has the form
-of a known digest (hexadecimal of a digest's length) or identifier (UUID, dates,
-numbers with a unit, paths and words joined by dashes), or overlaps a span found already.
+tokens and random ones with many. A candidate is a run of at least MIN_RANDOM key-like
+characters; it is a secret (kind ``random``) if it has at most MAX_CHARS_PER_TOKEN
+characters for each token of the vocabulary, unless it has the form of a known digest
+(hexadecimal of a digest's length) or identifier (UUID, dates, numbers with a unit, paths
+and words joined by dashes), or overlaps a span found already. Names and paths before a
+secret are ordinary words and would hide it, so that where a run is no secret its parts
+of that length are tested too: between '=', between '/', and what is left of those between
+parts that are ordinary words.
 """
 
 from __future__ import annotations
@@ -33,7 +36,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _HEX_ONLY = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
-_IDENTIFIER = re.compile(r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\Z|[0-9_/=+-]+\Z|(?:[A-Za-z]+|[0-9]+)(?:[-_/](?:[A-Za-z]+|[0-9]+))+\Z")
+_IDENTIFIER = re.compile(r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\Z|[0-9_/=+-]+\Z")
+_WORDS = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/](?:[A-Za-z]+|[0-9]+))+\Z")
+#: Where a run is cut, coarsest first; the last cut is of words only, joined by dashes or not.
+_CUTS = tuple(map(re.compile, ("[^=]+", "[^=/]+", "[^=/_]+", "[^=/_-]+")))
 
 
 def rank_file() -> str:
@@ -65,17 +71,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _known(s: str) -> bool:
+    return bool(_IDENTIFIER.match(s)) or (len(s) in _DIGEST_LENGTHS and bool(_HEX_ONLY.match(s)))
+
+
+def _stretches(s: str, cut: re.Pattern, count) -> Iterator[tuple[int, int]]:
+    """The longest stretches of parts that are neither ordinary words nor of a known form."""
+    start = end = None
+    for m in cut.finditer(s):
+        if len(m[0]) > MAX_CHARS_PER_TOKEN * count(m[0]) or _known(m[0]):
+            if start is not None:
+                yield start, end
+            start = None
+        else:
+            start, end = m.start() if start is None else start, m.end()
+    if start is not None:
+        yield start, end
+
+
+def _random_parts(s: str, count, level: int = 0) -> Iterator[tuple[int, int]]:
+    """The (start, end) of a run, or else of its parts from a cut on, that pass the token-efficiency test."""
+    if len(s) < MIN_RANDOM or _known(s):
+        return
+    if not _WORDS.match(s) and len(s) <= MAX_CHARS_PER_TOKEN * count(s):
+        yield 0, len(s)
+    elif level < len(_CUTS):
+        cut = _CUTS[level]
+        parts = [m.span() for m in cut.finditer(s)]
+        if level == 2 and not _WORDS.match(s):
+            parts = _stretches(s, cut, count)
+        for a, b in parts:
+            for x, y in _random_parts(s[a:b], count, level + 1):
+                yield a + x, a + y
+
+
 def random_spans(text: str, count, taken: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
     """The spans that the token-efficiency test adds to those taken."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or _IDENTIFIER.match(s) or (len(s) in _DIGEST_LENGTHS and _HEX_ONLY.match(s)):
-            continue
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
-            continue
-        if len(s) <= MAX_CHARS_PER_TOKEN * count(s):
-            out.append((m.start(), m.end(), "random"))
+        for a, b in _random_parts(m[0], count):
+            a, b = a + m.start(), b + m.start()
+            if not any(x < b and a < y for x, y, _ in taken):
+                out.append((a, b, "random"))
     return out
 
 

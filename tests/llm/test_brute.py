@@ -1,7 +1,9 @@
 """Queries without SQL against straightforward versions over the same tables."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from itertools import combinations
 
@@ -160,6 +162,19 @@ def test_random_strings_are_secrets_and_known_forms_are_not():
         assert not found(f"see {known} there"), known
 
 
+def test_secrets_behind_names_and_paths():
+    """Strings of 20 random letters and digits, or letters alone, also where '=', '/' or '_' joins them to ordinary words."""
+    count, r = secrets._counter(secrets.rank_file()), random.Random(3)
+    for lead in ("", "connection_string=", "/services/account/notifications/", "services/account/", "database_credential_production=", "database_credential_production_"):
+        for letters in (string.ascii_letters + string.digits, string.ascii_letters):
+            for _ in range(50):
+                s = "".join(r.choices(letters, k=20))
+                text = f"see {lead}{s} there"
+                assert any(a <= 4 + len(lead) and b == len(text) - 6 for a, b, _ in secrets.random_spans(text, count)), text
+    for ordinary in ("internationalization", "/services/account/notifications/production", "database_credential_production_settings", "550e8400-e29b-41d4-a716-446655440000", "=" * 40):
+        assert not secrets.random_spans(f"see {ordinary} there", count), ordinary
+
+
 def luhn(digits):
     total = 0
     for n, c in enumerate(reversed(digits)):
