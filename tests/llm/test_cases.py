@@ -62,3 +62,17 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     got = sorted((r["path"] or "", r["license"], r["license_from"]) for r in out.collect())
     assert got == [("", None, "none"), ("a/LICENSE", "MIT", "own"), ("a/b/COPYING", "Apache-2.0", "own"), ("a/b/c.txt", "Apache-2.0", "directory"), ("a/x.txt", "MIT", "directory"), ("a/x.txt", "MIT", "directory"), ("a/y.txt", "GPL-3.0", "own"), ("z/q.txt", None, "none")]
     assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+def test_short_names_and_families_of_licenses(spark):
+    """Names without the word license are scored too, and each family has its own name."""
+    want = {
+        "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY 4.0": "CC-BY-4.0", "# CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "SPDX-License-Identifier: LGPL-3.0": "LGPL-3.0", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "// SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "He works by day and this is 4.0 times the work of a person.": None, "Mit der Zeit": None,
+    }
+    rows = [(f"s/{i}.c", f"first line\n{line}\nlast line") for i, line in enumerate(want)]
+    got = {r["path"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {path: name for (path, _), name in zip(rows, want.values())}
