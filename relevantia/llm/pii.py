@@ -3,7 +3,7 @@
 Base kinds (email, ip, card, phone) are patterns with a check; their spans stay.
 High-recall generators propose more spans, which may overlap: looser e-mail, phone,
 social-security, account and date-of-birth forms. Boosted trees score every proposal
-by its format and by the words around it; a proposal is redacted from its kind's
+by its format and by the words before it; a proposal is redacted from its kind's
 threshold on, which is calibrated on held-out rows to at least PRECISION. Of selected
 proposals that overlap the best-scored one counts, and none that overlaps a base span.
 
@@ -47,7 +47,7 @@ PROPOSALS = {
     "birth": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9A-Za-z/-])",
 }
 KINDS = (*BASE, *PROPOSALS)
-#: Characters before and after a proposal that its features look at.
+#: Characters before a proposal that its features look at; those after it do not count.
 CONTEXT = 32
 PRECISION, TRAIN_ROWS, ROUNDS, DEPTH, RATE = 0.99, 3000, 24, 3, 0.4
 _FOR = {
