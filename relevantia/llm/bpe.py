@@ -7,7 +7,9 @@ That state is all that longer words need, so a prefix that many words share is e
 once. A word's encoding is read back from its end node, last token by last token.
 
 The last symbol of a word carries the end mark, so it is another symbol than the same
-byte inside a word, and each word ends in an edge of its own.
+byte inside a word, and each word ends in an edge of its own. Which tokens can end at a
+node depends on its last symbols; what a window of WINDOW of them allows is looked up in
+the vocabulary once, as is whether two tokens stay separate side by side.
 
 Texts are cut into words as the tokenizer file says: canonical composition, white
 space, lower case and the cut pattern. The library's own normaliser and splitter do it
@@ -23,7 +25,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, filterfalse
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -40,8 +42,10 @@ _CHARS = [c for c in map(chr, [*range(9, 14), *range(32, 127), *range(161, 383),
 _LETTERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "N")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The words kept between batches; the table starts anew beyond it. Results do not depend on it.
-KEPT_WORDS = 150_000
+#: The words, windows of symbols and pairs of tokens kept between batches; beyond it a table
+#: starts anew. Results do not depend on it.
+KEPT_WORDS, KEPT_WINDOWS, KEPT_PAIRS = 400_000, 400_000, 1_000_000
+WINDOW = 4
 
 
 def word_file() -> str:
@@ -63,6 +67,23 @@ def _byte_letters() -> list[str]:
     return out
 
 
+def _ended(symbols: str) -> str:
+    return symbols[:-1] + chr(256 + ord(symbols[-1]))
+
+
+def _shared(leaves: list[str], width: int = 32) -> list[int]:
+    """How many symbols each of the sorted strings shares with the one before it."""
+    if not leaves:
+        return []
+    x = np.array([s[:width] for s in leaves]).view(np.uint32).reshape(len(leaves), -1)
+    apart = x[1:] != x[:-1]
+    out = [0, *np.where(apart.any(axis=1), apart.argmax(axis=1), width).tolist()]
+    for i in np.flatnonzero(~apart.any(axis=1)).tolist():
+        a, b = leaves[i], leaves[i + 1]
+        out[i + 1] = next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+    return out
+
+
 class WordBpe:
     """Word-level BPE from a tokenizers file: encodes words, texts; decodes ids."""
 
@@ -80,6 +101,7 @@ class WordBpe:
         self._library.no_truncation()
         self._library.no_padding()
         self._normal = self._library.normalizer.normalize_str
+        self._cut_words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "truncation": None, "padding": None}))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         if pattern != _PATTERN:
             raise ValueError(f"another cut pattern than {_PATTERN}: {pattern}")
@@ -98,99 +120,106 @@ class WordBpe:
                 raise ValueError("two merges make the same token: last-token states do not determine encodings")
             self.merges[left, right] = rank
             self.parts[joined] = (rank, left, right)
-        #: tokens by their symbols, as strings where an end symbol is a letter beyond the byte letters
+        #: tokens by their symbols: bytes as characters, the last one from 256 on if it carries the end mark
         self._by_symbols: dict[str, int] = {}
+        byte = {letter: chr(b) for b, letter in enumerate(self._letters)}
         for t, i in self.vocab.items():
-            if t.endswith(self.end) and len(t) > len(self.end):
-                body = t[: -len(self.end)]
-                t = body[:-1] + self._ended(body[-1])
             if i < 2 * 256 or i in self.parts:
-                self._by_symbols[t] = i
-        #: lengths of the tokens that end in three given symbols, longest first
-        ends: dict[str, set[int]] = {}
+                ended = t.endswith(self.end) and len(t) > len(self.end)
+                symbols = "".join(byte[c] for c in (t[: -len(self.end)] if ended else t))
+                self._by_symbols[_ended(symbols) if ended else symbols] = i
+        #: lengths of the tokens longer than a window, longest first, by their last WINDOW symbols
+        longer: dict[str, set[int]] = {}
         for t in self._by_symbols:
-            if len(t) > 2:
-                ends.setdefault(t[-3:], {1, 2}).add(len(t))
-        self._lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        self._apart_known: dict[tuple[int, int], bool] = {}
-        self._kept: dict[Any, dict[str | int, Any]] = {}
+            if len(t) > WINDOW:
+                longer.setdefault(t[-WINDOW:], set()).add(len(t))
+        self._longer = {k: sorted(v, reverse=True) for k, v in longer.items()}
+        self._windows: dict[str, list[tuple[int, int, dict[int, bool]]]] = {}
+        #: token -> token before it -> whether both stay separate
+        self._fits: dict[int, dict[int, bool]] = {}
+        self._n_fits = 0
+        self._tables: dict[Any, Words] = {}
         self._ends: np.ndarray | None = None
 
-    @staticmethod
-    def _ended(letter: str) -> str:
-        return chr(0xE000 + ord(letter))
-
-    def _symbols(self, word: str) -> str:
-        shown = "".join([self._letters[b] for b in word.encode("utf-8")])
-        return shown[:-1] + self._ended(shown[-1])
-
     def _apart(self, left: int, right: int) -> bool:
         """Whether left and right, side by side, both survive the merges of their joint text.
 
         Takes the two apart in reverse merge order. At each step the pair at the seam must
         not have a merge that comes before the merges that formed its neighbours.
         """
-        known = self._apart_known.get((left, right))
-        if known is not None:
-            return known
         a, b, limit = left, right, 1 << 60
         while True:
             rank = self.merges.get((a, b))
             if rank is not None and rank < limit:
-                result = False
-                break
+                return False
             pa_, pb = self.parts.get(a), self.parts.get(b)
             if pa_ is None and pb is None:
-                result = True
-                break
+                return True
             # The later merge is undone first; of equal ones (the same token twice) the left is made first.
             if pb is None or (pa_ is not None and pa_[0] > pb[0]):
                 limit, a = pa_[0], pa_[2]
             else:
                 limit, b = pb[0] + 1, pb[1]
-        self._apart_known[left, right] = result
-        return result
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of each distinct word, by one traversal of their trie. A word is not empty.
+    def _window(self, symbols: str) -> list[tuple[int, int, dict[int, bool]]]:
+        """What can end after these symbols, the last WINDOW at most: (length, token, its entry of _fits), longest first.
+
+        A length above the window's has the token -1: whether there is one depends on the symbols before.
+        """
+        out: list[tuple[int, int, dict[int, bool]]] = [(n, -1, {}) for n in self._longer.get(symbols, ())]
+        for n in range(len(symbols), 0, -1):
+            token = self._by_symbols.get(symbols[-n:])
+            if token is not None:
+                out.append((n, token, self._fits.setdefault(token, {})))
+        self._windows[symbols] = out
+        return out
+
+    def _fit(self, left: int, token: int) -> bool:
+        found = self._fits.setdefault(token, {})[left] = self._apart(left, token)
+        self._n_fits += 1
+        return found
+
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each distinct word with its ids, by one traversal of their trie. A word is not empty.
 
         Words sorted by symbols are the trie's leaves in depth-first order: going from one to
         the next, the states of the prefix that both share stand and only new nodes are worked out.
         """
-        by_symbols, lengths, known, apart = self._by_symbols, self._lengths, self._apart_known, self._apart
-        out: dict[str, list[int]] = {}
-        last, size, previous = [-1], [0], ""
-        for symbols, word in sorted([(self._symbols(w), w) for w in words]):
-            n, shared = len(symbols), 0
-            most = min(n, len(previous))
-            while shared < most and symbols[shared] == previous[shared]:
-                shared += 1
+        if len(self._windows) > KEPT_WINDOWS or self._n_fits > KEPT_PAIRS:
+            self._windows, self._fits, self._n_fits = {}, {}, 0
+        by_symbols, windows, fits_of, window, fit = self._by_symbols, self._windows, self._fits, self._window, self._fit
+        of = {_ended(w if w.isascii() else w.encode("utf-8").decode("latin-1")): w for w in words}
+        leaves = sorted(of)
+        last, size = [-1], [0]
+        for symbols, shared in zip(leaves, _shared(leaves)):
+            n = len(symbols)
             del last[shared + 1 :], size[shared + 1 :]
             for depth in range(shared + 1, n + 1):
-                for length in lengths.get(symbols[depth - 3 : depth], (2, 1)) if depth > 2 else (2, 1):
-                    if length > depth:
-                        continue
-                    token = by_symbols.get(symbols[depth - length : depth])
-                    if token is None:
-                        continue
+                near = symbols[depth - WINDOW : depth] if depth > WINDOW else symbols[:depth]
+                for length, token, fits in windows.get(near) or window(near):
+                    if token < 0:
+                        if length > depth:
+                            continue
+                        token = by_symbols.get(symbols[depth - length : depth])
+                        if token is None:
+                            continue
+                        fits = fits_of.setdefault(token, {})
                     if length == depth:
                         break
-                    pair = (last[depth - length], token)
-                    fits = known.get(pair)
-                    if fits if fits is not None else apart(*pair):
+                    left = last[depth - length]
+                    known = fits.get(left)
+                    if known or (known is None and fit(left, token)):
                         break
                 else:
                     raise ValueError(f"no token ends at {symbols[:depth]!r}")
                 last.append(token)
                 size.append(length)
-            previous = symbols
             ids, at = [], n
             while at:
                 ids.append(last[at])
                 at -= size[at]
             ids.reverse()
-            out[word] = ids
-        return out
+            yield of[symbols], ids
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
@@ -210,59 +239,75 @@ class WordBpe:
                 out.extend(self.words(part))
         return out
 
-    def library_bytes(self, words: Iterable[str]) -> dict[str, bytes]:
-        """The packed ids of each distinct word, by the tokenizers library: words in a row, parted by spaces; each ends in a token with the end mark."""
+    def library_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each distinct word with its packed ids, by the tokenizers library: words in a row, parted by spaces; each ends in a token with the end mark.
+
+        Words come normalised, and normalising again could change them (lower-casing can leave
+        what composes anew), so that the library's tokenizer here has no normaliser.
+        """
         if self._ends is None:
             self._ends = np.zeros(max(self.tokens) + 1, bool)
             self._ends[[i for t, i in self.vocab.items() if t.endswith(self.end)]] = True
-        out, every = {}, list(words)
+        every = list(words)
         for at in range(0, len(every), 4096):
             some = every[at : at + 4096]
-            ids = np.array(self._library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<i4")
+            ids = np.array(self._cut_words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<i4")
             ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
             if len(ends) != len(some):
                 raise ValueError("the library cuts words otherwise")
-            data = ids.tobytes()
-            out.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-        return out
-
-    def encode_batch(self, texts: list[str], form: Callable[[list[int]], Any], keep: int = KEPT_WORDS, library: bool = False) -> list[list[Any]]:
-        """For each text what ``form`` makes of its pieces' ids, piece by piece; once for each word of the table.
+            yield from zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)))
 
-        library: words by library_bytes() instead of the trie; form is then packed().
-        """
-        cut = [self.pieces(t) for t in texts]
-        kept = self._kept.setdefault(form, {})
-        found = [list(map(kept.get, c)) for c in cut]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
-        new = {c[i] for c, gap in zip(cut, gaps) for i in gap}
-        if len(kept) + len(new) > keep:
-            kept.clear()
-        for i in [w for w in new if w.__class__ is int]:
-            kept[i] = form([i])
-            new.discard(i)
-        if library:
-            kept.update(self.library_bytes(new))
-        else:
-            for word, ids in self.encode_words(new).items():
-                kept[word] = form(ids)
-        for c, f, gap in zip(cut, found, gaps):
-            for i in gap:
-                f[i] = kept[c[i]]
-        return found
+    def table(self, *forms: Callable[[list[int]], Any], library: bool = False, keep: int = KEPT_WORDS) -> Words:
+        """The table of these forms, kept between batches."""
+        key = (*forms, library, keep)
+        if key not in self._tables:
+            self._tables[key] = Words(self, forms, library, keep)
+        return self._tables[key]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_batch([text], list)[0] for i in ids]
+        (cut,), (ids,) = self.table(list).take([text])
+        return [i for piece in cut for i in ids[piece]]
 
-    def shown(self, ids: list[int]) -> tuple[int, str, str]:
-        """Count, decimal ids and tokens of a word."""
-        return len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
+    def decimal(self, ids: list[int]) -> str:
+        return " ".join(map(str, ids))
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the file has no decoder: tokens joined by spaces, unknown ids left out."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
+class Words:
+    """A table of words (and special ids) with what each form makes of a word's ids; each word is encoded once."""
+
+    def __init__(self, bpe: WordBpe, forms: tuple[Callable[[list[int]], Any], ...], library: bool, keep: int):
+        self.bpe, self.forms, self.library, self.keep = bpe, forms, library, keep
+        self.of: list[dict[str | int, Any]] = [{} for _ in forms]
+
+    def take(self, texts: list[str]) -> tuple[list[list[str | int]], list[dict[str | int, Any]]]:
+        """The pieces of each text, and a dict by piece for each form that has all of them.
+
+        library: words by library_words() instead of the trie; the form is then packed().
+        """
+        cut = list(map(self.bpe.pieces, texts))
+        every: set[str | int] = set().union(*cut)
+        new = every.difference(self.of[0])
+        if len(self.of[0]) + len(new) > self.keep:
+            # Words that this batch has are likely to come again.
+            self.of = [{w: have[w] for w in every if w in have} for have in self.of]
+        special = [w for w in new if w.__class__ is int]
+        new.difference_update(special)
+        for form, have in zip(self.forms, self.of):
+            have.update((i, form([i])) for i in special)
+        if self.library:
+            self.of[0].update(self.bpe.library_words(new))
+        else:
+            pairs = list(zip(self.forms, self.of))
+            for word, ids in self.bpe.encode_words(new):
+                for form, have in pairs:
+                    have[word] = form(ids)
+        return cut, self.of
+
+
 @lru_cache(maxsize=2)
 def loaded(path: str) -> WordBpe:
     return WordBpe(path)
@@ -288,7 +333,8 @@ def packed(ids: list[int]) -> bytes:
 
 def id_lists(bpe: WordBpe, texts: list[str], end: bytes = b"", library: bool = False) -> pa.ListArray:
     """The ids of each text, and those in ``end`` after them, as an Arrow list array; words by the trie or by the library."""
-    found = [b"".join(x) + end for x in bpe.encode_batch(texts, packed, 3 * KEPT_WORDS, library)]
+    cut, (ids,) = bpe.table(packed, library=library).take(texts)
+    found = [b"".join([*map(ids.__getitem__, c), end]) for c in cut]
     offsets = pa.array([0, *accumulate([len(x) // 4 for x in found])], pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(map(len, found)) // 4, [None, pa.py_buffer(b"".join(found))]))
 
@@ -300,10 +346,10 @@ def _digests(path: str):
         for batch in batches:
             for start, texts in chunks(batch, "text"):
                 rows = []
-                for found in bpe.encode_batch(texts, bpe.shown):
-                    ids = " ".join([x[1] for x in found])
-                    decoded = " ".join([x[2] for x in found])
-                    rows.append((sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                cut, (decimal, shown) = bpe.table(bpe.decimal, bpe.decode).take(texts)
+                for c in cut:
+                    ids, decoded = (" ".join(map(of.__getitem__, c)) for of in (decimal, shown))
+                    rows.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                 cols = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *cols], [batch.schema.field(0).name, *schema.names])
 

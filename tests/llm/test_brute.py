@@ -92,25 +92,64 @@ def test_bpe_equals_the_library(spark, small, texts):
         assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def by_both(own, texts):
+    """The ids of each text by the trie and by the library's words."""
+    out = []
+    for path in (False, True):
+        cut, (ids,) = own.table(bpe.packed, library=path).take(texts)
+        out.append([np.frombuffer(b"".join(map(ids.__getitem__, c)), "<i4").tolist() for c in cut])
+    return zip(*out)
+
+
 def test_words_with_odd_characters():
     own, t = bpe.loaded(bpe.word_file()), library()
-    cases = ["", "it's we'll 'sx !'s", "ÅÅ éé İI ǅ", "日本語 テスト 123", "<|endoftext|>a<|startoftext|>", "x" * 5000, "   ​", "👩‍👩‍👧 ok", "a\u0000b"]
-    for text in cases:
+    cases = ["", "it's we'll 'sx !'s", "ÅÅ éé İI ǅ", "日本語 テスト 123", "<|endoftext|>a<|startoftext|>", "x" * 5000, "   ​", "👩‍👩‍👧 ok", "a\u0000b", "\u0130\u0331", "<|ENDOFTEXT|>", "ſK"]
+    for text, (trie, words) in zip(cases, by_both(own, cases)):
         want = t.encode(text, add_special_tokens=False).ids
-        assert own.encode(text) == want, text
-        assert [i for b in own.encode_batch([text], bpe.packed, library=True)[0] for i in np.frombuffer(b, "<i4").tolist()] == want, text
+        assert trie == words == want == own.encode(text), text
         assert own.decode(want) == t.decode(want, skip_special_tokens=False)
 
 
-def test_words_kept_do_not_change_results(texts):
+def test_many_random_texts_by_both_encoders():
+    """20,000 texts of letters, marks that compose, digits, signs, spaces and special strings: no id differs from the library's."""
+    own, t, r = bpe.loaded(bpe.word_file()), library(), random.Random(20)
+    some = [*map(chr, range(32, 127)), *"\t\n\x0b\x85\xa0\u2028\u3000", *map(chr, range(0xA1, 0x250)), *map(chr, range(0x300, 0x340)), *map(chr, range(0x391, 0x3D0)), *"İıſKÅΩßẞǅǆﬁ", *"日本語テ한글한", *"👩‍🔬️", "<|endoftext|>", "<|startoftext|>", "the ", "tion", "'s", "'LL"]
+    texts = ["".join(r.choices(some if k % 2 else some[:140], k=r.randint(0, 30))) for k in range(20_000)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for text, ids, (trie, words) in zip(texts, want, by_both(own, texts)):
+        assert trie == ids and words == ids, ascii(text)
+
+
+def test_words_kept_do_not_change_results(texts, monkeypatch):
     own = bpe.WordBpe(bpe.word_file())
     some = list(texts.values())[:60]
     want = [own.encode(t) for t in some]
-    fresh = bpe.WordBpe(bpe.word_file())
-    got = [[i for ids in f for i in ids] for k in range(0, 60, 7) for f in fresh.encode_batch(some[k : k + 7], list, keep=50)]
+    monkeypatch.setattr(bpe, "KEPT_WINDOWS", 100)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 100)
+    fresh = bpe.WordBpe(bpe.word_file()).table(list, keep=50)
+    got = []
+    for k in range(0, 60, 7):
+        cut, (ids,) = fresh.take(some[k : k + 7])
+        got += [[i for piece in c for i in ids[piece]] for c in cut]
     assert got == want
 
 
+def test_ids_as_rows_and_back(spark, texts):
+    """encode() and decode(): ids of every row, the library's decoded text, null and unknown ids."""
+    t = library()
+    rows = bpe.encode(spark.createDataFrame([*texts.items(), (None, None), (7, "İ\u0331")], "doc_id long, text string"))
+    out = bpe.decode(rows).collect()
+    assert len(out) == len(texts) + 2
+    known = {**texts, None: ""}
+    for r in out:
+        text = known[r["doc_id"]]
+        if t.encode(text, add_special_tokens=False).ids != r["ids"]:
+            text = "İ\u0331"
+        assert r["ids"] == t.encode(text, add_special_tokens=False).ids and r["decoded"] == t.decode(r["ids"], skip_special_tokens=False)
+    odd = bpe.decode(spark.createDataFrame([(None,), ([],), ([10**6, 320],)], "ids array<int>")).collect()
+    assert [r["decoded"] for r in odd] == [None, "", t.decode([320], skip_special_tokens=False)]
+
+
 def test_token_store(spark, small, texts):
     t, start = library(), 0
     got = by_id(queries()["op4_token_store"](spark, small))
