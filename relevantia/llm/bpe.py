@@ -25,7 +25,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -227,14 +227,14 @@ class WordBpe:
             return self._cut(text.lower())
         return [w for w, _ in self._library_cut(self._normal(text))]
 
-    def pieces(self, text: str) -> list[str | int]:
-        """Words, and the ids of special tokens, which are found in the raw text."""
+    def pieces(self, text: str) -> list[str]:
+        """Words, and special tokens, which are found in the raw text; no word is like one, since letters and signs are cut apart."""
         if "<|" not in text:
             return self.words(text)
-        out: list[str | int] = []
+        out: list[str] = []
         for part in self._split_special(text):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(part)
             elif part:
                 out.extend(self.words(part))
         return out
@@ -277,27 +277,25 @@ class WordBpe:
 
 
 class Words:
-    """A table of words (and special ids) with what each form makes of a word's ids; each word is encoded once."""
+    """A table of words and special tokens with what each form makes of a word's ids; each word is encoded once."""
 
     def __init__(self, bpe: WordBpe, forms: tuple[Callable[[list[int]], Any], ...], library: bool, keep: int):
         self.bpe, self.forms, self.library, self.keep = bpe, forms, library, keep
-        self.of: list[dict[str | int, Any]] = [{} for _ in forms]
+        self.of: list[dict[str, Any]] = [{} for _ in forms]
 
-    def take(self, texts: list[str]) -> tuple[list[list[str | int]], list[dict[str | int, Any]]]:
-        """The pieces of each text, and a dict by piece for each form that has all of them.
+    def cover(self, every: set[str]) -> list[dict[str, Any]]:
+        """A dict by word for each form; they have every one of these words.
 
         library: words by library_words() instead of the trie; the form is then packed().
         """
-        cut = list(map(self.bpe.pieces, texts))
-        every: set[str | int] = set().union(*cut)
         new = every.difference(self.of[0])
         if len(self.of[0]) + len(new) > self.keep:
             # Words that this batch has are likely to come again.
             self.of = [{w: have[w] for w in every if w in have} for have in self.of]
-        special = [w for w in new if w.__class__ is int]
-        new.difference_update(special)
+        special = new.intersection(self.bpe.special)
+        new -= special
         for form, have in zip(self.forms, self.of):
-            have.update((i, form([i])) for i in special)
+            have.update((w, form([self.bpe.special[w]])) for w in special)
         if self.library:
             self.of[0].update(self.bpe.library_words(new))
         else:
@@ -305,7 +303,12 @@ class Words:
             for word, ids in self.bpe.encode_words(new):
                 for form, have in pairs:
                     have[word] = form(ids)
-        return cut, self.of
+        return self.of
+
+    def take(self, texts: list[str]) -> tuple[list[list[str]], list[dict[str, Any]]]:
+        """The pieces of each text, and cover() of them."""
+        cut = list(map(self.bpe.pieces, texts))
+        return cut, self.cover(set().union(*cut))
 
 
 @lru_cache(maxsize=2)
@@ -331,12 +334,26 @@ def packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def id_lists(bpe: WordBpe, texts: list[str], end: bytes = b"", library: bool = False) -> pa.ListArray:
-    """The ids of each text, and those in ``end`` after them, as an Arrow list array; words by the trie or by the library."""
-    cut, (ids,) = bpe.table(packed, library=library).take(texts)
-    found = [b"".join([*map(ids.__getitem__, c), end]) for c in cut]
-    offsets = pa.array([0, *accumulate([len(x) // 4 for x in found])], pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(map(len, found)) // 4, [None, pa.py_buffer(b"".join(found))]))
+def id_lists(bpe: WordBpe, texts: list[str], end: int | None = None, library: bool = False) -> pa.ListArray:
+    """The ids of each text, and ``end`` after them, as an Arrow list array; words by the trie or by the library.
+
+    Words become codes of a dictionary, whose ids lie in one array; each text gathers its own.
+    """
+    cut = list(map(bpe.pieces, texts))
+    flat = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+    words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+    (of,) = bpe.table(packed, library=library).cover(set(words))
+    parts = [of[w] for w in words]
+    counts = np.array([len(p) // 4 for p in parts], np.int64)
+    ids, sizes = np.frombuffer(b"".join(parts), "<i4"), counts[codes]
+    # Where each piece begins in the result, less where its word begins among the ids.
+    ends = np.cumsum(sizes)
+    shift = np.repeat((np.cumsum(counts) - counts)[codes] - (ends - sizes), sizes)
+    out = ids[np.arange(len(shift)) + shift]
+    at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+    if end is not None:
+        out, at = np.insert(out, at[1:], end), at + np.arange(len(at))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out.astype(np.int32, copy=False)))
 
 
 def _digests(path: str):

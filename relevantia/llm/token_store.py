@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .bpe import chunks, id_lists, loaded, packed, word_file
+from .bpe import chunks, id_lists, loaded, word_file
 from .common import shared_path, table, text_of
 
 END_ID = 2
@@ -37,7 +37,7 @@ def _encode(path: str, end_id: int):
         bpe, part, first = loaded(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for start, texts in chunks(batch, "text", 2_000_000):
-                tokens = id_lists(bpe, texts, packed([end_id]), library=True)
+                tokens = id_lists(bpe, texts, end_id, library=True)
                 at = tokens.offsets.to_numpy().astype(np.int64)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), batch.column(0).slice(start, n), pa.array(first + at[:-1]), pa.array(np.diff(at)), tokens], ["part", "doc_id", "first", "n_tokens", "tokens"])
