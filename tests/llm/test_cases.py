@@ -76,3 +76,31 @@ def test_short_names_and_families_of_licenses(spark):
     rows = [(f"s/{i}.c", f"first line\n{line}\nlast line") for i, line in enumerate(want)]
     got = {r["path"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {path: name for (path, _), name in zip(rows, want.values())}
+
+
+def test_wrapped_headers_and_whole_license_texts(spark):
+    """Headers in comments over several lines, and license texts on one line, are paragraphs of their own family."""
+    import textwrap
+
+    T = licenses.TEMPLATES
+    wrap = lambda text, lead, width=70: "\n".join(lead + line for line in textwrap.wrap(text, width))
+    cases = {
+        "MIT": [wrap(T["MIT"][-1], ""), T["MIT"][-1], wrap(T["MIT"][4], " * ", 40)],
+        "GPL-3.0": [wrap("This file is part of Thing. " + T["GPL-3.0"][1], "# "), T["GPL-3.0"][1]],
+        "GPL-2.0": [wrap(T["GPL-2.0"][1], "// ", 50)],
+        "LGPL-2.1": [wrap(T["LGPL-2.1"][1], "")],
+        "Apache-2.0": [wrap(T["Apache-2.0"][4], " * ", 60), wrap(T["Apache-2.0"][2], "# ", 45), "Copyright 2020\n\n" + wrap(T["Apache-2.0"][3], "   ")],
+        "BSD-3-Clause": [wrap(T["BSD-3-Clause"][-1], "")],
+        "BSD-2-Clause": [wrap(T["BSD-2-Clause"][-1], "")],
+        "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+        None: ["He may use the work of others in any form that is permitted to the public.", "Software is sold with support.\nThe rights of others are respected in all of our work with them."],
+    }
+    rows = [(f"s/{name}-{i}.c", f"int x = 1;\n\n{text}\n *\nint y;") for name, texts in cases.items() for i, text in enumerate(texts)]
+    got = {r["path"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {f"s/{name}-{i}.c": name for name, texts in cases.items() for i in range(len(texts))}
+
+
+def test_licenses_of_long_texts(spark):
+    rows = [("a/b/c/d.txt", "word " * 400_000 + "\nReleased under the MIT License.\n" + "x\n" * 100_000), ("LICENSE", "Licensed under CC BY 4.0."), ("a/b/x.txt", "word " * 10)]
+    got = {r["path"]: (r["license"], r["license_from"]) for r in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/b/c/d.txt": ("MIT", "own"), "LICENSE": ("CC-BY-4.0", "own"), "a/b/x.txt": ("CC-BY-4.0", "directory")}
