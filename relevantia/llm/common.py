@@ -21,12 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a single-machine session, as in tests) a
-    temporary folder stands in for it.
+    Only where the session names none and runs on one machine (as in tests) a temporary
+    folder stands in for it; a cluster without one is refused, since no executor could
+    read what another wrote to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="relevantia-"))
     return _own_dir[0]
@@ -36,14 +40,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder (in folders ``by`` a column's values) and read it back.
 
     Cuts the lineage at replicated storage: a lost executor costs the tasks it ran,
     not the table. The owner of the shared folder clears it.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

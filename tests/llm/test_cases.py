@@ -22,8 +22,23 @@ def test_exact_dedup_keeps_one_of_each(spark):
     kept = exact_dedup.drop_exact_duplicates(docs.odd(spark)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept if r["doc_id"] is not None) == [(False, i) for i in (4, 5, 6, 7, 8, 9)]
     assert len(kept) == 7
-    small = exact_dedup.exact_dedup(docs.odd(spark), max_filter_words=1024).count()
-    assert small == len(docs.ODD)
+
+
+def test_exact_dedup_in_slices(spark, small):
+    """Filters too small for the table make slices, never other results; no text reaches an exchange."""
+    assert exact_dedup.filter_shape(100, 16, 1 << 22) == (1, 1024) and exact_dedup.filter_shape(10**9, 16, 1 << 22) == (60, 1 << 22)
+    df = common.table(spark, small, "documents")
+    df = df.unionByName(df.where("doc_id % 7 = 0"))
+    tiny = {"bits_per_row": 4000, "max_filter_words": 4096}
+    assert exact_dedup.filter_shape(df.count(), 4000, 4096)[0] > 1
+    rows = lambda d: sorted(d.collect(), key=str)
+    want, got = exact_dedup.exact_dedup(df.select("doc_id", "text")), exact_dedup.exact_dedup(df.select("doc_id", "text"), **tiny)
+    assert rows(want) == rows(got)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan and "norm" not in plan
+    once = exact_dedup.drop_exact_duplicates(df)
+    assert rows(once) == rows(exact_dedup.drop_exact_duplicates(df, **tiny)) and once.columns == df.columns
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted(r["doc_id"] for r in want.where("kept").collect())
 
 
 def test_near_dedup_keeps_one_of_each(spark):
