@@ -8,11 +8,12 @@ quotas to the output shards: at each node the quota vector is split between the
 halves of the node's shards by a multivariate hypergeometric draw, which is what
 dealing the node's blocks out blindly would give. A shard's count of a source then
 takes the next blocks of that source's own permutation, and rows are shuffled within
-their shard.
+their shard. A document is taken as often as shards were dealt to its blocks.
 
-Only one row per source and the tree (one array entry per source and node) are small
-tables; documents are read, never sorted as a whole: the cut through a source's order
-lies in one of 4096 hash buckets, and only that bucket is ordered.
+Only one row per source and the tree (an entry for each source that a node has blocks of,
+so at each level no more than there are blocks) are small tables; documents are read, never
+sorted as a whole: the cut through a source's order lies in one of the hash buckets, and only
+that bucket is ordered. Shards, blocks and buckets grow with the words of the table.
 """
 
 from __future__ import annotations
@@ -27,11 +28,10 @@ from .common import WORD, payload, staged, table, text_of, unpack
 WEIGHTS = (1, 2, 3)
 #: No source is repeated more than this.
 MAX_REPEAT = 3
-#: Up to so many sources their table (about 1 kB a row at most) is broadcast; more are joined by key.
-BROADCAST_SOURCES = 10_000
-BUCKETS = 4096
-#: Shards grow with the mixture, between these numbers: about so many words each.
-WORDS_PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 16_000_000, 64, 4096
+#: Up to so many sources and blocks (about 100 and 4 bytes each) the plan is broadcast; beyond, it is joined by source.
+BROADCAST_ENTRIES = 250_000
+#: Shards grow with the mixture: about so many words each, so many shards at least, and so many blocks for each.
+WORDS_PER_SHARD, LEAST_SHARDS, BLOCKS_PER_SHARD = 64_000_000, 64, 16
 RESULTS = ["size", "source_size", "target", "taken", "shards"]
 
 
@@ -44,8 +44,13 @@ def _order(seed: int, doc: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc.cast("string"), F.lit(""))))
 
 
-def _bucket(h: Column) -> Column:
-    return F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
+def bucket_digits(n_shards: int) -> int:
+    """Hexadecimal digits of the hash order that name a bucket: at least as many buckets as all shards have blocks."""
+    return max(3, math.ceil(math.log(n_shards * BLOCKS_PER_SHARD, 16)))
+
+
+def _bucket(h: Column, digits: int) -> Column:
+    return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -67,13 +72,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
     return src.select("skey", "source", "sid", "weight", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def source_cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def source_cuts(sizes: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
     """targets with ``passes`` (whole passes) and the end of the head that one more pass takes: all orders below ``cut_floor``, and up to ``cut`` (order, id).
 
     A document belongs to the head if its middle word does.
     """
     t = targets.select("skey", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEAT))).otherwise(0).cast("int").alias("passes"), "target", "source_size")
     t = t.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+    sizes = sizes.withColumn("bucket", _bucket(F.col("h"), digits))
     buckets = sizes.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -85,81 +91,86 @@ def source_cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     held = held.withColumn("middle", F.col("base") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") / 2.0)
     ends = held.where(F.col("middle") <= F.col("rest")).groupBy("skey").agg(F.max(F.struct("h", "id")).alias("cut"))
     # All before that bucket belongs to the head, and perhaps nothing of the bucket.
-    floor = at.select("skey", F.lower(F.lpad(F.conv(F.col("bucket").cast("string"), 10, 16), 3, "0")).alias("cut_floor"))
+    floor = at.select("skey", F.lower(F.lpad(F.conv(F.col("bucket").cast("string"), 10, 16), digits, "0")).alias("cut_floor"))
     return targets.join(t.select("skey", "passes"), "skey").join(ends, "skey", "left").join(floor, "skey", "left")
 
 
 def _split(level: int, seed: int) -> str:
     """The draw of one node, as SQL: of its ``q`` the share of the left half, by selection sampling without replacement."""
-    u = f"(pmod(xxhash64({seed}, {level}, node, x.i, j), 9007199254740992L) / 9007199254740992D)"
+    u = f"(pmod(xxhash64({seed}, {level}, node, x.sid, j), 9007199254740992L) / 9007199254740992D)"
     hit = f"if({u} * b.t < b.l, 1, 0)"
-    inner = f"""aggregate(if(x.n > 0, sequence(1, x.n), cast(array() as array<int>)), named_struct('t', a.t, 'l', a.l, 'g', 0),
+    inner = f"""aggregate(sequence(1, x.n), named_struct('t', a.t, 'l', a.l, 'g', 0),
         (b, j) -> named_struct('t', b.t - 1, 'l', b.l - {hit}, 'g', b.g + {hit}))"""
-    return f"""aggregate(transform(q, (n, i) -> named_struct('n', n, 'i', i)),
-        named_struct('t', total, 'l', left_total, 'out', cast(array() as array<int>)),
+    return f"""aggregate(q, named_struct('t', total, 'l', left_total, 'out', cast(array() as array<int>)),
         (a, x) -> transform(array({inner}), r -> named_struct('t', r.t, 'l', r.l, 'out', concat(a.out, array(r.g))))[0], a -> a.out)"""
 
 
 def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """From (sid, blocks) of each source (shard, sid, n): how many blocks of it each shard gets.
+    """From (sid, blocks) of each source (shard, sid, n): how many blocks of it each shard gets, where it gets any.
 
     Shard totals differ by rounding only. One level of the tree per doubling of shards.
     """
-    row = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("sid", "blocks"))), lambda x: x["blocks"]).alias("q"))
+    row = quotas.where("blocks > 0").agg(F.array_sort(F.collect_list(F.struct(F.col("sid").cast("int").alias("sid"), F.col("blocks").cast("int").alias("n")))).alias("q"))
     tree = row.select(F.lit(0).alias("node"), F.lit(0).alias("first"), F.lit(n_shards).alias("width"), "q")
+    some = lambda q: F.filter(q, lambda x: x["n"] > 0)
     for level in range(math.ceil(math.log2(n_shards))):
-        tree = tree.withColumn("total", F.aggregate("q", F.lit(0), lambda a, x: a + x)).withColumn("left_width", F.expr("cast(ceil(width / 2) as int)"))
-        tree = tree.withColumn("left_total", F.expr("cast(round(total * left_width / width) as int)")).withColumn("lq", F.when(F.col("width") > 1, F.expr(_split(level, seed))).otherwise(F.col("q")))
-        left = F.struct((F.col("node") * 2).alias("node"), "first", F.col("left_width").alias("width"), F.col("lq").alias("q"))
-        right = F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("first") + F.col("left_width")).alias("first"), (F.col("width") - F.col("left_width")).alias("width"), F.zip_with("q", "lq", lambda n, m: n - m).alias("q"))
+        tree = tree.withColumn("total", F.aggregate("q", F.lit(0), lambda a, x: a + x["n"])).withColumn("left_width", F.expr("cast(ceil(width / 2) as int)"))
+        tree = tree.withColumn("left_total", F.expr("cast(round(total * left_width / width) as int)")).withColumn("lq", F.when(F.col("width") > 1, F.expr(_split(level, seed))).otherwise(F.transform("q", lambda x: x["n"])))
+        own = some(F.zip_with("q", "lq", lambda x, n: F.struct(x["sid"].alias("sid"), n.alias("n"))))
+        rest = some(F.zip_with("q", "lq", lambda x, n: F.struct(x["sid"].alias("sid"), (x["n"] - n).alias("n"))))
+        left = F.struct((F.col("node") * 2).alias("node"), "first", F.col("left_width").alias("width"), own.alias("q"))
+        right = F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("first") + F.col("left_width")).alias("first"), (F.col("width") - F.col("left_width")).alias("width"), rest.alias("q"))
         tree = tree.select(F.explode(F.when(F.col("width") > 1, F.array(left, right)).otherwise(F.array(left))).alias("x")).select("x.*")
-    return tree.select(F.col("first").alias("shard"), F.posexplode("q").alias("sid", "n"))
+    return tree.select(F.col("first").alias("shard"), F.explode("q").alias("x")).select("shard", "x.*")
 
 
-def source_plan(sizes: DataFrame, n_shards: int = 64, blocks_per_shard: int = 16, seed: int = 7, weights=WEIGHTS) -> DataFrame:
+def source_plan(sizes: DataFrame, n_shards: int = LEAST_SHARDS, seed: int = 7, weights=WEIGHTS) -> DataFrame:
     """All that is decided per source: ``source_size, target, passes, cut, per_pass`` (blocks) and ``dealt``, each block's shard."""
-    cuts = staged(source_cuts(sizes, source_targets(sizes, weights)), "mix-cuts")
-    block = F.sum("target").over(Window.partitionBy()) / (n_shards * blocks_per_shard)
-    cuts = cuts.withColumn("per_pass", F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.round(F.col("source_size") / F.when(block > 0, block).otherwise(1)).cast("int"))))
-    head = F.when(F.col("cut").isNotNull() | F.col("cut_floor").isNotNull(), 1 + _part(_bucket(F.coalesce("cut.h", "cut_floor")), F.col("per_pass"))).otherwise(0)
+    digits = bucket_digits(n_shards)
+    cuts = staged(source_cuts(sizes, source_targets(sizes, weights), digits), "mix-cuts")
+    block = F.sum("target").over(Window.partitionBy()) / (n_shards * BLOCKS_PER_SHARD)
+    cuts = cuts.withColumn("per_pass", F.greatest(F.lit(1), F.least(F.lit(16**digits), F.round(F.col("source_size") / F.when(block > 0, block).otherwise(1)).cast("int"))))
+    head = F.when(F.col("cut").isNotNull() | F.col("cut_floor").isNotNull(), 1 + _part(_bucket(F.coalesce("cut.h", "cut_floor"), digits), F.col("per_pass"), digits)).otherwise(0)
     cuts = cuts.withColumn("blocks", F.col("passes") * F.col("per_pass") + head)
-    counts = split_quotas(cuts.select("sid", "blocks"), n_shards, seed)
+    counts = staged(split_quotas(cuts.select("sid", "blocks"), n_shards, seed), "mix-tree")
     upto = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("hi", F.sum("n").over(upto)).where("n > 0").select("sid", "shard", F.explode(F.expr("sequence(hi - n, hi - 1)")).alias("rank"))
+    counts = counts.withColumn("hi", F.sum("n").over(upto)).select("sid", "shard", F.explode(F.expr("sequence(hi - n, hi - 1)")).alias("rank"))
     blocks = cuts.where("blocks > 0").select("sid", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     drawn = Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed), "sid", "block"), "block")
     blocks = blocks.withColumn("rank", (F.row_number().over(drawn) - 1).cast("long"))
-    dealt = blocks.join(counts, ["sid", "rank"]).groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "shard"))), lambda x: x["shard"]).alias("dealt"))
+    # A block that the tree did not deal has no shard, and nothing of it is taken.
+    dealt = blocks.join(counts, ["sid", "rank"], "left").groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "shard"))), lambda x: x["shard"]).alias("dealt"))
     return staged(cuts.join(dealt, "sid", "left").drop("source", "sid", "weight", "blocks"), "mix-plan")
 
 
-def _part(bucket: Column, parts: Column) -> Column:
+def _part(bucket: Column, parts: Column, digits: int) -> Column:
     """Which of so many equal parts of the hash order a bucket lies in."""
-    return F.floor(bucket * parts / F.lit(BUCKETS)).cast("int")
+    return F.floor(bucket.cast("long") * parts / F.lit(16**digits)).cast("int")
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows (skey, id, h) with ``copies`` and ``shards``, the shard of each copy."""
-    small = plan.count() <= BROADCAST_SOURCES
+def _with_plan(rows: DataFrame, plan: DataFrame, n_shards: int) -> DataFrame:
+    """rows (skey, id, h) with ``shards``, the shard of each copy that the tree dealt out."""
+    digits = bucket_digits(n_shards)
+    small = n_shards * BLOCKS_PER_SHARD + plan.count() <= BROADCAST_ENTRIES
     out = rows.join(F.broadcast(plan) if small else plan, "skey")
     last = F.col("id").isNull() | F.col("id").eqNullSafe(F.col("cut.id")) | (F.col("id") <= F.col("cut.id"))
     head = F.coalesce(F.col("h") < F.col("cut_floor"), F.lit(False)) | F.coalesce((F.col("h") < F.col("cut.h")) | ((F.col("h") == F.col("cut.h")) & last), F.lit(False))
     out = out.withColumn("copies", F.col("passes") + head.cast("int"))
     at = F.sequence(F.lit(0), F.col("copies") - 1)
-    shard = F.transform(at, lambda p: F.get(F.col("dealt"), p * F.col("per_pass") + _part(_bucket(F.col("h")), F.col("per_pass"))))
-    return out.withColumn("shards", F.when(F.col("copies") > 0, shard).otherwise(F.array().cast("array<int>")))
+    shard = F.transform(at, lambda p: F.get(F.col("dealt"), p * F.col("per_pass") + _part(_bucket(F.col("h"), digits), F.col("per_pass"), digits)))
+    return out.withColumn("shards", F.when(F.col("copies") > 0, F.filter(shard, lambda s: s.isNotNull())).otherwise(F.array().cast("array<int>")))
 
 
 def _sizes(df: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
     t = df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("source"), F.regexp_count(text_of(df, text_col), F.lit(WORD)).cast("long").alias("size"))
     h = _order(seed, F.col("id"))
-    return staged(t.select("id", "source", _key(F.col("source")).alias("skey"), "size", h.alias("h"), _bucket(h).alias("bucket")), "mix-sizes")
+    return staged(t.select("id", "source", _key(F.col("source")).alias("skey"), "size", h.alias("h")), "mix-sizes")
 
 
 def shards_for(sizes: DataFrame) -> int:
     """How many shards a mixture of these sizes is dealt to; its words are as many as the input's."""
     words = sizes.agg(F.sum("size")).first()[0] or 0
-    return min(max(LEAST_SHARDS, words // WORDS_PER_SHARD), MOST_SHARDS)
+    return max(LEAST_SHARDS, words // WORDS_PER_SHARD)
 
 
 def mix_report(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int | None = None, seed: int = 7, weights=WEIGHTS) -> DataFrame:
@@ -171,21 +182,23 @@ def mix_report(df: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     result. Other columns of df are not carried. Without n_shards see shards_for().
     """
     sizes = _sizes(df, id_col, source_col, text_col, seed)
-    out = _with_plan(sizes, source_plan(sizes, n_shards or shards_for(sizes), seed=seed, weights=weights))
+    n_shards = n_shards or shards_for(sizes)
+    out = _with_plan(sizes, source_plan(sizes, n_shards, seed, weights), n_shards)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", n_shards: int | None = None, seed: int = 7, weights=WEIGHTS) -> DataFrame:
     """The mixture itself: df's rows with df's columns, each as often as it is taken, dealt to shards and shuffled within them.
 
-    One output partition holds whole shards. Cases as in mix_report().
+    Each shard is one output partition. Cases as in mix_report().
     """
     sizes = _sizes(df, id_col, source_col, text_col, seed)
     n_shards = n_shards or shards_for(sizes)
-    plan = source_plan(sizes, n_shards, seed=seed, weights=weights)
+    plan = source_plan(sizes, n_shards, seed, weights)
     rows = payload(df, id=df[id_col], skey=_key(df[source_col]), h=_order(seed, df[id_col]))
-    out = _with_plan(rows, plan).select("row", "h", F.posexplode("shards").alias("nth", "shard"))
-    out = out.repartition(n_shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "h", "nth"))
+    out = _with_plan(rows, plan, n_shards).select("row", "h", F.posexplode("shards").alias("nth", "shard"))
+    # By its number, not by a hash of it: two shards in one task would undo the even deal.
+    out = out.repartitionById(n_shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "h", "nth"))
     return out.select("row.*")
 
 

@@ -1,5 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, clashing names and empty tables."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import docs
 from relevantia.llm import bpe, exact_dedup, licenses, mixing, pii, quality, secrets, simhash, token_store, common
 
@@ -66,8 +70,39 @@ def test_mix_is_near_its_targets_and_agrees_with_itself(spark, small):
         assert abs(sum(r["taken"] for r in own) - target * len({r["source_size"] for r in own})) <= largest * len(own)
     out = mixing.mix(df, n_shards=8)
     assert out.count() == sum(len(r["shards"]) for r in mixing.mix_report(df, n_shards=8).collect())
-    shards = [len(x) for x in out.select("doc_id").rdd.glom().collect()]
-    assert sum(shards) == out.count()
+    want = Counter(s for r in mixing.mix_report(df, n_shards=8).collect() for s in r["shards"])
+    got = [r["n"] for r in out.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()]
+    assert got == [want[s] for s in range(8)]
+
+
+def test_tree_meets_quotas_and_deals_evenly(spark):
+    """Every source's quota is dealt whole, shard totals differ by rounding, and each source is spread as blind dealing would."""
+    for quotas, n in (((100, 300, 624), 64), ((1, 0, 5, 4000), 7), ((3,), 1), ((2, 1), 16)):
+        rows = spark.createDataFrame(list(enumerate(quotas)), "sid int, blocks int")
+        got = [tuple(r) for r in mixing.split_quotas(rows, n, 7).select("shard", "sid", "n").collect()]
+        assert all(sum(k for _, s, k in got if s == sid) == q for sid, q in enumerate(quotas))
+        totals = [sum(k for s, _, k in got if s == shard) for shard in range(n)]
+        assert max(totals) - min(totals) <= max(1, n.bit_length()) and all(k > 0 for *_, k in got)
+        if n == 64:
+            assert set(totals) == {16} and max(k for _, sid, k in got if sid == 0) <= 8
+
+
+def test_what_the_tree_loses_is_not_taken(spark, small, monkeypatch):
+    """taken comes from the shards that the tree deals: without one shard it falls short of what the whole tree gives."""
+    df = common.table(spark, small, "documents")
+    whole = mixing.mix_report(df).agg(F.sum("taken")).first()[0]
+    deal = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: deal(*a).where("shard <> 5"))
+    assert mixing.mix_report(df).agg(F.sum("taken")).first()[0] < whole
+
+
+def test_many_sources_and_texts_without_words(spark):
+    """More sources than shards, joined by key; sources without words have target 0."""
+    df = spark.range(1200).select(F.col("id").alias("doc_id"), (F.col("id") % 400).cast("string").alias("source"), F.when(F.col("id") % 400 > 3, F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int"))).alias("text"))
+    rows = mixing.mix_report(df, n_shards=16).collect()
+    assert len(rows) == 1200 and sum(r["taken"] for r in rows) > 0
+    assert all(r["taken"] <= 3 * r["size"] and len(r["shards"]) <= 3 for r in rows) and all(r["target"] == 0 for r in rows if r["source_size"] == 0)
+    assert sum(r["taken"] for r in mixing.mix_report(df.withColumn("text", F.lit(None).cast("string"))).collect()) == 0
 
 
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
