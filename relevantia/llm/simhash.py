@@ -2,11 +2,13 @@
 
 Two fingerprints with at most three differing bits have at most one in one of their
 32-bit halves. So there is one tree for each half, searched with radius one. A tree is
-fitted on a bounded sample of the distinct fingerprints (SAMPLE): each inner node has a
-vantage point and a distance M; points at M or nearer go left, points at M - radius + 1
-or farther go right, and the band between goes to both: by the triangle inequality no
-linked pair is parted. A leaf is a shard; all distinct fingerprints are routed, and
-each shard finds its exact pairs, with inner vantage points where it is large.
+fitted on a sample of the distinct fingerprints: each inner node has a vantage point and a
+distance M; points at M or nearer go left, points at M - radius + 1 or farther go right,
+and the band between goes to both: by the triangle inequality no linked pair is parted.
+Where points share a half, so that its distances part nothing, the node takes those of the whole
+fingerprint with radius three. A leaf is a shard; all distinct fingerprints are routed, and
+each shard finds its exact pairs, with inner vantage points where it is large. The shards
+grow in number with the fingerprints (shard_size()), and the sample with the shards.
 
 Equal fingerprints are one point (their documents are linked anyway, and a hot group
 meets map-side). A shard returns a forest that spans its links, fewer rows than points,
@@ -32,10 +34,11 @@ from .common import payload, staged, table, text_of, unpack
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: The trees are fitted on about so many distinct fingerprints (all, if there are fewer); every fingerprint is routed and compared.
-SAMPLE = 65_536
-#: Distinct fingerprints that a shard should have about.
-SHARD = 2048
+#: The trees are fitted on SAMPLE distinct fingerprints, or on POINTS for each shard if those are more (all, if there are fewer);
+#: every fingerprint is routed and compared.
+SAMPLE, POINTS = 65_536, 32
+#: Distinct fingerprints that a shard should have about: the least, and from LARGE_SHARD * SPREAD fingerprints on the most.
+SHARD, LARGE_SHARD, SPREAD = 2048, 65_536, 512
 _HALVES = (0, 32)
 
 
@@ -98,42 +101,53 @@ def _best_split(points: np.ndarray, radius: int, tries: int = 4):
     return best
 
 
-def build_tree(points: np.ndarray, radius: int, leaf: float) -> list:
-    """Nodes [pivot, M, left, right], a leaf being None; children by index, the root first.
+def shard_size(n: int) -> int:
+    """Of n distinct fingerprints about so many make a shard: n / this is what grows without end."""
+    return min(max(SHARD, n // SPREAD), LARGE_SHARD)
 
-    A node is split while it has more than ``leaf`` sample points, if that parts them.
+
+def build_tree(points: np.ndarray, shift: int, leaf: float, radius: int = RADIUS) -> np.ndarray:
+    """Nodes (pivot, m, left, right, whole) over fingerprints by their half at ``shift``, a leaf having left 0; the root first.
+
+    A node is split while it has more than ``leaf`` sample points: by distances of halves
+    with radius one, or, if those part little, of whole fingerprints with ``radius``.
     """
-    nodes: list = [None]
+    nodes: list = [(0, 0, 0, 0, False)]
     work = [(0, points)]
     while work:
         at, own = work.pop()
         if len(own) <= max(leaf, 16):
             continue
-        worst, pivot, m = _best_split(own, radius)
-        if worst > 0.9 * len(own):
+        for whole in (False, True):
+            x, r = (own, max(radius, 1)) if whole else ((own >> np.uint64(shift)).astype(np.uint32), 1)
+            worst, pivot, m = _best_split(x, r)
+            if worst <= 0.9 * len(own):
+                break
+        else:
             continue
-        d = _distances(own, pivot)
-        nodes[at] = [int(pivot), m, len(nodes), len(nodes) + 1]
-        work += [(len(nodes), own[d <= m]), (len(nodes) + 1, own[d >= m - radius + 1])]
-        nodes += [None, None]
-    return nodes
+        d = _distances(x, pivot)
+        nodes[at] = (int(pivot), m, len(nodes), len(nodes) + 1, whole)
+        work += [(len(nodes), own[d <= m]), (len(nodes) + 1, own[d >= m - r + 1])]
+        nodes += [(0, 0, 0, 0, False)] * 2
+    return np.array(nodes, [("pivot", "<u8"), ("m", "<i4"), ("left", "<i4"), ("right", "<i4"), ("whole", "?")])
 
 
-def route(nodes: list, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, leaves): each point with every leaf that it must be compared in."""
+def route(nodes: np.ndarray, points: np.ndarray, shift: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, leaves): each fingerprint with every leaf that it must be compared in."""
     at, leaves = [], []
+    halves = (points >> np.uint64(shift)).astype(np.uint32)
     work = [(0, np.arange(len(points)))]
     while work:
         node, own = work.pop()
         if not len(own):
             continue
-        if nodes[node] is None:
+        pivot, m, left, right, whole = nodes[node].item()
+        if not left:
             at.append(own)
             leaves.append(np.full(len(own), node, np.int32))
             continue
-        pivot, m, left, right = nodes[node]
-        d = _distances(points[own], points.dtype.type(pivot))
-        work += [(left, own[d <= m]), (right, own[d >= m - radius + 1])]
+        d = _distances(points[own], np.uint64(pivot)) if whole else _distances(halves[own], np.uint32(pivot))
+        work += [(left, own[d <= m]), (right, own[d >= m - (max(radius, 1) if whole else 1) + 1])]
     return (np.concatenate(at), np.concatenate(leaves)) if at else (np.empty(0, np.int64), np.empty(0, np.int32))
 
 
@@ -191,13 +205,13 @@ def forest(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return label
 
 
-def _routed(trees: list):
+def _routed(trees: list[np.ndarray], radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy()
             points = fp.view(np.uint64)
             for k, (shift, nodes) in enumerate(zip(_HALVES, trees)):
-                at, leaf = route(nodes, (points >> np.uint64(shift)).astype(np.uint32), 1)
+                at, leaf = route(nodes, points, shift, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf * 2 + k), pa.array(fp[at])], ["shard", "fp"])
 
     return run
@@ -219,13 +233,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE) -> Da
     if not 0 <= radius <= 3:
         raise ValueError("two halves searched with radius one find pairs of at most three bits")
     n = distinct.count()
+    sample = max(sample, POINTS * n // shard_size(n))
     # Drawn by hash below a bound, so that no task sends more than its share of the sample.
     some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < (1 << 32) * sample // n) if n > sample else distinct
     drawn = np.sort(np.array([r[0] for r in some.select("fp").collect()], np.int64)).view(np.uint64)
     drawn = np.random.default_rng(SEED).permutation(drawn)
-    leaf = SHARD * len(drawn) / max(n, 1)
-    trees = [build_tree((drawn >> np.uint64(s)).astype(np.uint32), 1, leaf) for s in _HALVES]
-    shards = distinct.select("fp").mapInArrow(_routed(trees), "shard int, fp long")
+    leaf = shard_size(n) * len(drawn) / max(n, 1)
+    trees = [build_tree(drawn, s, leaf, radius) for s in _HALVES]
+    shards = distinct.select("fp").mapInArrow(_routed(trees, radius), "shard int, fp long")
     return shards.groupBy("shard").applyInPandas(_shard_forest(radius), "u long, v long")
 
 
@@ -269,17 +284,25 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """df with one row of each component: the smallest id, of rows that repeat it the one whose text hashes lowest.
+    """df with one row of each component: the smallest id, of rows that repeat it the one whose text hashes lowest, of whole repeats any one.
 
-    The decision is made on (id, fingerprint) alone; texts move once, in the join with the ids that go.
+    Nulls as in simhash_components(). The decision is made on (id, fingerprint) alone; texts
+    move once, in the join with the ids that go, and once more only where ids and texts repeat.
     """
-    keyed = df.select(F.coalesce(df[id_col].cast("string"), F.lit("")).alias("key"), text_of(df, text_col).alias("text"), df[id_col].alias("own"))
+    keyed = df.select(text_of(df, text_col).alias("text"), df[id_col].alias("own"))
     ids = staged(fingerprints(keyed.select(F.struct("own", F.xxhash64("text").alias("h")).alias("id"), "text"), "id", "text", shingle), "simhash-fps")
     winners = _classes(ids, radius).select(F.col("component_id").alias("id")).distinct()
-    goes = ids.select("id").distinct().join(winners, ids["id"].eqNullSafe(winners["id"]), "left_anti").select(F.col("id.own").alias("own"), F.col("id.h").alias("h"))
+    counted = ids.groupBy("id").agg(F.count("*").alias("n"))
+    marked = counted.join(winners.withColumn("wins", F.lit(True)), counted["id"].eqNullSafe(winners["id"]), "left").where("wins IS NULL OR n > 1")
+    marked = staged(marked.select(counted["id"]["own"].alias("own"), counted["id"]["h"].alias("h"), F.col("wins").isNotNull().alias("wins")), "simhash-goes")
     rows = payload(df, own=df[id_col], h=F.xxhash64(text_of(df, text_col)))
-    kept = rows.join(goes, rows["own"].eqNullSafe(goes["own"]) & (rows["h"] == goes["h"]), "left_anti")
-    return unpack(kept, df.columns, [])
+    same = lambda other: rows["own"].eqNullSafe(other["own"]) & (rows["h"] == other["h"])
+    kept = unpack(rows.join(marked, same(marked), "left_anti"), df.columns, [])
+    repeats = marked.where("wins")
+    if repeats.isEmpty():
+        return kept
+    once = rows.join(repeats, same(repeats), "left_semi").groupBy("own", "h").agg(F.first("row").alias("row"))
+    return kept.unionByName(unpack(once, df.columns, []))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

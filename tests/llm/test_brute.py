@@ -74,6 +74,28 @@ def test_links_of_a_dense_and_a_spread_set(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
+def test_shards_stay_bounded(monkeypatch):
+    """Shards grow in number with the fingerprints, also where all share a half; no linked pair is parted."""
+    monkeypatch.setattr(simhash, "SHARD", 64)
+    monkeypatch.setattr(simhash, "LARGE_SHARD", 64)
+    assert [simhash.shard_size(n) for n in (10, 10**6, 10**9)] == [64, 64, 64]
+    rng = np.random.default_rng(2)
+    spread = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    shared = np.uint64(0xABCD1234) << np.uint64(32) | rng.integers(0, 1 << 32, 4000, dtype=np.uint64)
+    for points in (spread, np.unique(shared)):
+        near = np.unique(np.concatenate([points, points[:500] ^ np.uint64(0b101), points[500:900] ^ np.uint64(1 << 63 | 3)]))
+        sides = [simhash.route(simhash.build_tree(near, s, 64), near, s) for s in (0, 32)]
+        together = set()
+        for at, leaf in sides:
+            for x in np.unique(leaf):
+                own = at[leaf == x]
+                assert len(own) < len(near) / 4
+                r, c = np.nonzero(np.bitwise_count(near[own][:, None] ^ near[own][None]) <= 3)
+                together |= set(zip(own[r].tolist(), own[c].tolist()))
+        r, c = np.nonzero(np.bitwise_count(near[:, None] ^ near[None]) <= 3)
+        assert together == set(zip(r.tolist(), c.tolist()))
+
+
 def library():
     from tokenizers import Tokenizer
 
