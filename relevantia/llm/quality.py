@@ -1,16 +1,19 @@
 """Quality rules by repetition coverage.
 
-A batch of texts is one byte array. Prefix sums of a rolling hash give every word and
-line its hash; sums over neighbouring word hashes, rolled with another base, give every
-n-gram its own. Texts never mix, since the text's number enters the hash. Sorting brings
-equal n-grams together; the characters of words that lie inside any of them are the
-coverage. An n-gram is repeated only where its first SHORTEST words are, so all longer
-lengths look only there. Hashes have 64 bits.
+A batch of texts is one byte array. Prefix sums of two rolling hashes give every word and
+line its hash: one modulo 2**64, one modulo a prime, since some different strings (of the
+Thue-Morse kind) agree modulo any power of two. They are worked out block by block and kept at
+the edges of words and lines alone, so that a long text takes memory by its words. Sums over
+neighbouring word hashes, rolled with another base, give every n-gram its own. Texts never
+mix, since the text's number enters the hash. Sorting brings equal n-grams together; the
+characters of words that lie inside any of them are the coverage. An n-gram is repeated only
+where its first SHORTEST words are, so all longer lengths look only there. Hashes are mixed to 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +33,63 @@ SYMBOLS = 10
 MIN_WORDS, BASE_N, BASE_PERCENT = 20, 8, 30
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", *[f"dup_chars_{n}" for n in COVERAGE]]
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 1_234_567_891
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_PRIME_TABLE = np.random.default_rng(6).integers(1, _PRIME, 256, dtype=np.uint64)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 #: Texts are taken together up to so many bytes; a longer text is a batch of its own.
 BATCH_BYTES = 2_000_000
-_powers: dict[int, np.ndarray] = {}
+BLOCK = 1 << 20
+
+
+@lru_cache(maxsize=64)
+def _powers(base: int, modulus: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64 or a prime below 2**32."""
+    out, k = np.ones(n, np.uint64), 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, modulus))
+        if modulus < 1 << 32:
+            out[k : 2 * k] %= np.uint64(modulus)
+        k *= 2
+    return out
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        size = max(n, BATCH_BYTES + 4096)
-        got = np.full(size, base, np.uint64)
-        got[0] = 1
-        got = np.cumprod(got)
-        if n <= BATCH_BYTES + 4096:
-            _powers[base] = got
-    return got[:n]
+def _at(base: int, modulus: int, exponent: np.ndarray, most: int) -> np.ndarray:
+    """base**exponent by a table for the places in a block and one for the blocks."""
+    low = _powers(base, modulus, BLOCK)[exponent % BLOCK]
+    if most < BLOCK:
+        return low
+    high = _powers(pow(base, BLOCK, modulus), modulus, 1 << (most // BLOCK).bit_length())[exponent // BLOCK]
+    return low * high if modulus > 1 << 32 else low * high % np.uint64(modulus)
+
+
+def _prefixes(buf: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At ascending marks, of all bytes before: both rolling hashes and the number of code points."""
+    h, q, points = np.zeros(len(marks), np.uint64), np.zeros(len(marks), np.uint32), np.zeros(len(marks), np.int32)
+    sums = [0, 0, 0]
+    for b in range(0, len(buf), BLOCK):
+        own = buf[b : b + BLOCK]
+        lo, hi = np.searchsorted(marks, [b, b + len(own)], "right")
+        at = marks[lo:hi] - b - 1
+        x = np.cumsum(_TABLE[own] * _powers(_BASE, 1 << 64, BLOCK)[: len(own)]) * np.uint64(pow(_BASE, b, 1 << 64)) + np.uint64(sums[0])
+        h[lo:hi], sums[0] = x[at], int(x[-1])
+        x = np.cumsum(_PRIME_TABLE[own] * _powers(_PRIME_BASE, _PRIME, BLOCK)[: len(own)] % np.uint64(_PRIME))
+        x = (x % np.uint64(_PRIME) * np.uint64(pow(_PRIME_BASE, b, _PRIME)) + np.uint64(sums[1])) % np.uint64(_PRIME)
+        q[lo:hi], sums[1] = x[at], int(x[-1])
+        x = np.cumsum((own & 0xC0) != 0x80) + sums[2]
+        points[lo:hi], sums[2] = x[at], int(x[-1])
+    return h, q, points
+
+
+def _hashed(buf: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each stretch between a mark and the next (marks in pairs) its hash and its code points."""
+    h, q, points = _prefixes(buf, marks)
+    start, size = marks[::2], marks[1::2] - marks[::2]
+    h = (h[1::2] - h[::2]) * _at(pow(_BASE, -1, 1 << 64), 1 << 64, start, len(buf))
+    p = np.uint64(_PRIME)
+    q = (q[1::2] + p - q[::2]) % p * _at(pow(_PRIME_BASE, -1, _PRIME), _PRIME, start, len(buf)) % p
+    return _mixed(_mixed(h + size.astype(np.uint64)) + q), points[1::2] - points[::2]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -92,15 +133,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     doc = np.searchsorted(text_end, start, "right")
-    inverse = pow(_BASE, -1, 1 << 64)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * _power(_BASE, len(buf)), out=sums[1:])
-    back = _power(inverse, len(buf) + 1)
     salt = _mixed(np.arange(1, n + 1, dtype=np.uint64))
-    words = _mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
-    points = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
-    chars = points[end] - points[start]
+    words, chars = _hashed(buf, edge)
     out = {"n_words": np.bincount(doc, minlength=n), "word_chars": _sums(chars, doc, n)}
     out["n_symbols"] = np.bincount(np.searchsorted(text_end, np.flatnonzero(_SYMBOL[buf]), "right"), minlength=n)
 
@@ -111,7 +145,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     in_line = np.searchsorted(line_end, start)
     line_words, line_chars = np.bincount(in_line, minlength=len(line_end)), _sums(chars, in_line, len(line_end))
     real = line_words > 0
-    keys = _mixed((sums[line_end] - sums[line_start]) * back[line_start] + (line_end - line_start).astype(np.uint64)) ^ salt[line_doc]
+    keys = _hashed(buf, np.stack([line_start, line_end], axis=1).ravel())[0] ^ salt[line_doc]
     again = _later(keys[real])
     d = line_doc[real]
     out["n_dup_lines"] = np.bincount(d[again], minlength=n)
@@ -124,7 +158,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         at = at[at + k <= len(words)]
         at = at[doc[at] == doc[at + k - 1]]
         keys = salt[doc[at]].copy()
-        for j, p in enumerate(_power(_WORD_BASE, k)):
+        for j, p in enumerate(_powers(_WORD_BASE, 1 << 64, k)):
             keys += words[at + j] * p
         twice = at[_repeated(_mixed(keys))]
         if k == SHORTEST:

@@ -5,6 +5,7 @@ import random
 import re
 import string
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 
 import docs
-from relevantia.llm import bpe, chat, common, pii, queries, secrets, simhash, token_store
+from relevantia.llm import bpe, chat, common, pii, quality, queries, secrets, simhash, token_store
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -236,6 +237,43 @@ def test_secrets_behind_names_and_paths():
         assert not secrets.random_spans(f"see {ordinary} there", count), ordinary
 
 
+def slow_repetition(text):
+    """Of op2's base columns n_words, word_chars, n_dup_lines, n_repeat_words."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    many = {g for g, n in Counter(grams).items() if n > 1}
+    inside = {i + k for i, g in enumerate(grams) if g in many for k in range(8)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return [len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(inside)]
+
+
+def test_rolling_hashes(monkeypatch):
+    """Against brute force, also where blocks end inside words and lines, and for lines that agree modulo any power of two."""
+    morse = lambda n, a, b: "".join(b if i.bit_count() % 2 else a for i in range(n))
+    r = random.Random(4)
+    cases = ["", " \n", morse(2048, "a", "b") + "\n" + morse(2048, "b", "a"), "x" * 5000 + "\n" + "x" * 5000 + "\n" + "x" * 4999]
+    cases += ["".join(r.choices(["é", "a ", "b ", "c\n", "𝔘", "line of words here\n", "  "], k=r.randint(1, 300))) for _ in range(60)]
+    cases += [" ".join(r.choices("abc", k=400)) for _ in range(10)]
+    for block in (quality.BLOCK, 64, 7):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        found = quality.measure([c.encode() for c in cases])
+        for i, c in enumerate(cases):
+            assert [int(found[f][i]) for f in ("n_words", "word_chars", "n_dup_lines", "n_repeat_words")] == slow_repetition(c), c[:80]
+
+
+def test_very_long_texts_take_memory_by_their_words():
+    import tracemalloc
+
+    r = random.Random(5)
+    text = " ".join(["".join(r.choices("abcdefgh", k=6)) for _ in range(20_000)] * 60).encode()
+    quality.measure([b"warm"])
+    tracemalloc.start()
+    found = quality.measure([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["n_words"][0] == 1_200_000 == found["n_repeat_words"][0] and peak < 25 * len(text), peak / len(text)
+
+
 def luhn(digits):
     total = 0
     for n, c in enumerate(reversed(digits)):
