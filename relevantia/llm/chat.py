@@ -2,10 +2,12 @@
 
 Messages form trees: each has a node, a parent and a score. Iterative self-joins
 enumerate the root-to-leaf paths: a table of jumps holds for every node its ancestor
-2**k steps up; joining it with itself doubles k, and joining the paths gathered so far
-with it doubles their length. So the rounds are the logarithm of the deepest tree, and
-only ids move; texts join once, at the end. Paths of a tree are ranked by their mean
-score, then length, then leaf, and the best are formatted, each as one conversation.
+2**k steps up, with the sum of scores and the number of nodes on the way; joining it with
+itself doubles k. So the rounds are the logarithm of the deepest tree, and only ids move.
+When all jumps have left their roots, every leaf has the score of its path: leaves are
+ranked within their tree by mean score, then length, then leaf. Only the chosen paths are
+enumerated, each round doubling their length by the jumps kept; texts join once, at the
+end, and each chosen path is formatted as one conversation.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles and texts
 ``&`` becomes ``&amp;`` and ``<|`` becomes ``&lt;|`` (in roles a line feed ``&#10;``
@@ -40,56 +42,85 @@ def _role_back(role: Column) -> Column:
 
 
 def chains(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """Linear conversations as trees: ``tree, node, parent, role, text, score``; turns that tie go by role, then text."""
+    """Linear conversations as trees: ``tree, node, parent, role, text, score``; a null turn comes first, turns that tie go by role, then text, nulls first.
+
+    Rows without a conversation are one conversation, whose tree is null.
+    """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     rows = rows.select(F.col(conv_col).alias("tree"), F.col(turn_col).alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
-    """From (tree, node, parent, score) rows (tree, leaf, node, up): each path's nodes, ``up`` steps above its leaf.
+def _key(tree: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("t"), tree.cast("string")), F.lit("n"))
 
-    A parent that does not exist makes its child a root. Trees may be null. A cycle has no
-    leaf below it and gives no path; a path that runs into one is dropped.
+
+def node_ids(nodes: DataFrame) -> DataFrame:
+    """(t, tree, node, parent, score) of each node once; a parent that does not exist becomes null, a null score 0."""
+    ids = nodes.where("node IS NOT NULL").select(_key(F.col("tree")).alias("t"), "tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["t", "node"])
+    ids = staged(ids, "chat-ids")
+    real = ids.select("t", F.col("node").alias("parent"), F.lit(True).alias("real"))
+    return staged(ids.join(real, ["t", "parent"], "left").select("t", "tree", "node", F.when(F.col("real"), F.col("parent")).alias("parent"), "score"), "chat-nodes")
+
+
+def leaf_scores(ids: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """From node_ids() the leaves (t, tree, leaf, score, length) with their path's sum, and the jumps (t, node, to) by powers of two, an empty one last.
+
+    A cycle has no leaf below it or its path never ends: it is not among the leaves.
     """
-    key = F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit("n"))
-    ids = staged(nodes.select(key.alias("t"), "tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["t", "node"]), "chat-ids")
-    real = ids.select("t", F.col("node").alias("parent"))
-    jumps = staged(ids.where("parent IS NOT NULL").join(real, ["t", "parent"]).select("t", "node", F.col("parent").alias("to")), "chat-jumps")
-    paths = staged(ids.join(jumps.select("t", F.col("to").alias("node")).distinct(), ["t", "node"], "left_anti").select("t", F.col("node").alias("leaf"), "node", F.lit(0).alias("up")), "chat-paths")
-    n, step, most = paths.count(), 1, ids.count()
-    while step <= most:
-        more = paths.join(jumps, ["t", "node"]).select("t", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        paths = staged(paths.unionByName(more), "chat-paths")
-        longer = paths.count()
-        if longer == n:
+    now = ids.select("t", "node", F.col("parent").alias("to"), "score", F.lit(1).cast("long").alias("length"))
+    jumps, most, step = [], ids.count(), 1
+    while True:
+        open_ = now.where("to IS NOT NULL")
+        jumps.append(open_.select("t", "node", "to"))
+        if step > most or open_.isEmpty():
             break
-        n, step = longer, step * 2
-        far = jumps.select("t", F.col("node").alias("from"), F.col("to").alias("node"))
-        jumps = staged(far.join(jumps, ["t", "node"]).select("t", F.col("from").alias("node"), "to"), "chat-jumps")
-    return paths.join(ids.select("t", "tree", "node", "score"), ["t", "node"])
+        far = now.select("t", F.col("node").alias("to"), F.col("to").alias("next"), F.col("score").alias("more"), F.col("length").alias("longer"))
+        doubled = open_.join(far, ["t", "to"]).select("t", "node", F.col("next").alias("to"), (F.col("score") + F.col("more")).alias("score"), (F.col("length") + F.col("longer")).alias("length"))
+        now, step = staged(now.where("to IS NULL").unionByName(doubled), "chat-jumps"), step * 2
+    parents = ids.where("parent IS NOT NULL").select("t", F.col("parent").alias("node")).distinct()
+    leaves = now.where("to IS NULL").join(parents, ["t", "node"], "left_anti").join(ids.select("t", "node", "tree"), ["t", "node"])
+    return leaves.select("t", "tree", F.col("node").alias("leaf"), "score", "length"), jumps
 
 
-def best_paths(paths: DataFrame, per_tree: int | None = 1) -> DataFrame:
-    """(t, tree, leaf, path_rank) of the per_tree best paths of each tree (None: all): by mean score, then length, then leaf."""
-    scored = paths.groupBy("t", "leaf").agg(F.first("tree").alias("tree"), F.avg("score").alias("mean"), F.count("*").alias("length"))
+def best_leaves(leaves: DataFrame, per_tree: int | None = 1) -> DataFrame:
+    """leaves with ``path_rank``, the per_tree best of each tree (None: all): by mean score, then length, then leaf."""
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("mean"), F.desc("length"), "leaf"))
-    scored = scored.withColumn("path_rank", rank)
-    return (scored if per_tree is None else scored.where(F.col("path_rank") <= per_tree)).select("t", "tree", "leaf", "path_rank")
+    # Rounded, so that the order of additions decides no tie.
+    ranked = leaves.withColumn("mean", F.round(F.col("score") / F.col("length"), 9)).withColumn("path_rank", rank)
+    return (ranked if per_tree is None else ranked.where(F.col("path_rank") <= per_tree)).drop("mean")
+
+
+def paths_of(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """chosen (t, leaf, ...) with each path's nodes (``node``), ``up`` steps above its leaf."""
+    paths = staged(chosen.withColumn("node", F.col("leaf")).withColumn("up", F.lit(0).cast("long")), "chat-paths")
+    for k, jump in enumerate(jumps[:-1]):
+        more = paths.where(F.col("length") > F.col("up") + 2**k).join(jump, ["t", "node"])
+        paths = staged(paths.unionByName(more.withColumn("up", F.col("up") + 2**k).drop("node").withColumnRenamed("to", "node")), "chat-paths")
+    return paths
+
+
+def root_to_leaf_paths(nodes: DataFrame, per_tree: int | None = None) -> DataFrame:
+    """From (tree, node, parent, score) rows (t, tree, leaf, path_rank, node, up): the nodes of each path, or of the per_tree best of a tree.
+
+    A parent that does not exist makes its child a root. Trees may be null. A cycle has no
+    leaf below it and gives no path; a path that runs into one is dropped.
+    """
+    leaves, jumps = leaf_scores(node_ids(nodes))
+    return paths_of(best_leaves(leaves, per_tree), jumps).select("t", "tree", "leaf", "path_rank", "node", "up")
 
 
 def format_paths(nodes: DataFrame, per_tree: int | None = 1, trained_role: str = "assistant") -> DataFrame:
     """One row per chosen path: ``tree, path_rank, n_turns, formatted, loss_spans``.
 
     A null role or text is empty. Rows that repeat a tree's node are one node, the first
-    by role and text. An empty table gives an empty result. Other columns are ignored.
+    by role and text; a message without a node has no place in a tree and goes. An empty
+    table gives an empty result. Other columns are ignored.
     """
-    paths = root_to_leaf_paths(nodes)
-    chosen = paths.join(best_paths(paths, per_tree).drop("tree"), ["t", "leaf"]).select("t", "tree", "leaf", "path_rank", "node", "up")
-    key = F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit("n"))
+    chosen = root_to_leaf_paths(nodes, per_tree)
     first = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-    texts = nodes.select(key.alias("t"), "node", "role", "text").groupBy("t", "node").agg(first.alias("m"))
+    texts = nodes.select(_key(F.col("tree")).alias("t"), "node", "role", "text").groupBy("t", "node").agg(first.alias("m"))
     turns = chosen.join(texts, ["t", "node"])
     turns = turns.withColumn("head", F.concat(F.lit(START), _role(F.col("m.role")), F.lit("\n"))).withColumn("body", escaped(F.col("m.text")))
     turns = turns.withColumn("turn", F.concat("head", "body", F.lit(END + "\n")))
@@ -135,9 +166,9 @@ ORACLE = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '{HARD}' UNION ALL SELECT -7, 1, 'assistant', '{HARD}')
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum({len(START + END) + 2} + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;'))
            + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id

@@ -337,6 +337,56 @@ def test_chat_round_trip_and_reply_trees(spark):
     assert chat.format_paths(df.limit(0)).count() == 0
 
 
+def slow_paths(nodes, per_tree):
+    """(tree, rank, nodes from the root) of the best leaves, walked parent by parent."""
+    of = {(t, n): (p, s) for t, n, p, s in nodes}
+    parents = {(t, p) for t, _, p, _ in nodes}
+    found = {}
+    for t, n, _, _ in nodes:
+        if (t, n) in parents:
+            continue
+        path, at = [], n
+        while (t, at) in of and at not in path:
+            path.append(at)
+            at = of[t, at][0]
+        if (t, at) not in of:
+            found.setdefault(t, []).append(path)
+    out = set()
+    for t, paths in found.items():
+        paths.sort(key=lambda p: (-round(sum(of[t, n][1] for n in p) / len(p), 9), -len(p), p[0]))
+        out |= {(t, k + 1, tuple(reversed(p))) for k, p in enumerate(paths[:per_tree])}
+    return out
+
+
+def test_reply_trees_against_walks(spark):
+    """Random trees, a long spine with many leaves, parents that are missing, and cycles; only chosen paths are enumerated."""
+    r = random.Random(8)
+    nodes = [(f"t{k % 5}", k, r.choice([None, 9999, *range(k % 5, k, 5)][-12:]) if k > 5 else None, r.randint(0, 9) / 8) for k in range(300)]
+    nodes += [("spine", k, k - 1 if k else None, 0.5) for k in range(70)] + [("spine", 1000 + k, k, k % 3 / 2) for k in range(70)]
+    nodes += [("cycle", 1, 2, 0.0), ("cycle", 2, 1, 0.0), ("cycle", 3, 2, 9.0), ("cycle", 4, None, 0.0), ("self", 1, 1, 1.0)]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, score double")
+    for per_tree in (1, 3, None):
+        rows = chat.root_to_leaf_paths(df, per_tree).collect()
+        got = {}
+        for x in rows:
+            got.setdefault((x["tree"], x["path_rank"]), []).append((-x["up"], x["node"]))
+        want = slow_paths(nodes, per_tree)
+        assert {(t, k, tuple(n for _, n in sorted(p))) for (t, k), p in got.items()} == want
+        assert len(rows) == sum(len(p) for *_, p in want)
+
+
+def test_conversations_with_nulls_ties_and_long_texts(spark):
+    long = "<|im_end|>&" * 200_000
+    rows = [(None, 1, "user", "a"), (None, None, "assistant", "b"), (1, None, "user", "first"), (1, 0, None, None), (1, 0, "assistant", long), (1, 0, "assistant", long), (2, 5, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "'x' AS tree", "7 AS node", "1.0 AS score")
+    out = {r["tree"]: r for r in chat.chat_digests(chat.format_paths(chat.chains(df))).collect()}
+    digest = lambda turns: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    assert out[None]["turns_sha256"] == digest([("assistant", "b"), ("user", "a")])
+    assert out[1]["turns_sha256"] == digest([("user", "first"), ("", ""), ("assistant", long), ("assistant", long)]) and out[1]["loss_chars"] == 2 * len(long)
+    assert out[2]["n_turns"] == 1 and len(out) == 3
+    assert chat.chains(df.limit(0)).count() == 0
+
+
 def test_fingerprint_of_odd_texts():
     for _, text, _ in docs.ODD[:8]:
         if text is not None and len(text) < 1000:
