@@ -4,8 +4,8 @@ Base kinds (email, ip, card, phone) are patterns with a check; their spans stay.
 High-recall generators propose more spans, which may overlap: looser e-mail, phone,
 social-security, account and date-of-birth forms. Boosted trees score every proposal
 by its format and by the words before it; a proposal is redacted from its kind's
-threshold on, which is calibrated on held-out rows to at least PRECISION. Of selected
-proposals that overlap the best-scored one counts, and none that overlaps a base span.
+threshold on, which is calibrated on held-out rows to at least PRECISION. Selected
+proposals are taken from the best-scored on, each that overlaps none taken before and no base span.
 
 The trees are fitted on the driver, by a few dozen lines of Python, on a labelled table
 of TRAIN_ROWS rows (the bound) that example_rows() makes up; they are then a plain SQL
@@ -40,7 +40,7 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 PROBES = {"email_spelt": r"[\[({](?:at|AT)[\])}]", "phone_local": "[0-9]{3}[\\x20.-][0-9]{4}", "ssn": "[0-9]{2}[-\\x20][0-9]{4}", "iban": "[A-Z]{2}[0-9]{2}", "birth": "[0-9][./-][0-9]{1,2}[./-][0-9]"}
 PROPOSALS = {
-    "email_spelt": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?[\[({](?:at|AT)[\])}]\x20?[A-Za-z0-9-]{2,64}(?:\x20?(?:\.|[\[({](?:dot|DOT)[\])}])\x20?[A-Za-z0-9-]{2,64}){1,4}",
+    "email_spelt": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?[\[({](?:at|AT)[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({](?:dot|DOT)[\])}])\x20?[A-Za-z0-9-]++)++",
     "phone_local": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -315,21 +315,22 @@ def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     every = F.concat(*[F.col(f"{k}_found") for k in PROPOSALS])
     out = out.withColumn("more", every)
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    better = lambda a, b: (b["score"] > a["score"]) | ((b["score"] == a["score"]) & ((b["start"] < a["start"]) | ((b["start"] == a["start"]) & (_rank(b["kind"]) < _rank(a["kind"])))))
-    free = F.filter("more", lambda s: ~F.exists("base", lambda b: meets(s, b)) & ~F.exists("more", lambda o: meets(s, o) & better(s, o)))
+    # From the best-scored on, each that meets none taken before: what is dropped always meets a span that stays.
+    best = F.array_sort(F.transform(F.filter("more", lambda s: ~F.exists("base", lambda b: meets(s, b))), lambda s: F.struct((-s["score"]).alias("less"), s["start"].alias("start"), _rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    free = F.aggregate(best, F.filter(best, lambda s: F.lit(False)), lambda taken, s: F.when(F.exists(taken, lambda o: meets(s, o)), taken).otherwise(F.concat(taken, F.array(s))))
     out = out.withColumn("spans", F.when(F.size("more") > 0, F.array_sort(F.concat(F.col("base"), slim(free)))).otherwise(F.col("base")))
     return out.drop(*[f"{k}_found" for k in KINDS], "more")
 
 
 def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of df its id, ``n_email, n_ip, n_card, n_phone`` of base spans, ``base_sha256`` and ``spans``, kind:start:end joined by commas.
+    """Per row of df its id, ``n_email, n_ip, n_card, n_phone`` of base spans, ``n_spans`` of all, ``base_sha256`` and ``spans``, kind:start:end joined by commas.
 
     A null or empty text has no spans. Rows that repeat an id are scanned each. An empty
     table gives an empty result. Other columns are not carried: see redact_pii().
     """
     rows = with_spans(df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text")))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return rows.select(F.col("id").alias(id_col), *counts, F.sha2(_shown(F.col("base")), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"))
+    return rows.select(F.col("id").alias(id_col), *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(_shown(F.col("base")), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"))
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,8 @@ from .common import table, text_of
 KINDS = ("assign", "access", "hex", "random")
 MAX_CHARS_PER_TOKEN = 2.0
 MIN_RANDOM = 20
-_ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-_HINT = re.compile(r"(?i)passw|secret|token|api_?key")
+_ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+_HINT = re.compile(r"(?i)passw|secret|token|api_?key", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
@@ -108,10 +109,19 @@ def _random_parts(s: str, count, level: int = 0) -> Iterator[tuple[int, int]]:
 def random_spans(text: str, count, taken: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
     """The spans that the token-efficiency test adds to those taken."""
     out = []
+    starts, ends = [], []
+    for x, y, _ in sorted(taken):
+        if starts and x < ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
     for m in _CANDIDATE.finditer(text):
         for a, b in _random_parts(m[0], count):
             a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, y, _ in taken):
+            # Of stretches apart from each other, only the last that begins before b can meet it.
+            k = bisect_left(starts, b) - 1
+            if k < 0 or ends[k] <= a:
                 out.append((a, b, "random"))
     return out
 
@@ -143,7 +153,7 @@ def _run(path: str):
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row of df its id, the number of spans of each kind, ``base_sha256`` and ``spans`` (kind:start:end, in code points).
 
-    A null or empty text has no spans. Rows that repeat an id are scanned each. An empty
+    A null or empty text has no spans. "Either case" means A-Z and a-z: a long s or a Kelvin sign is no letter of a name. Rows that repeat an id are scanned each. An empty
     table gives an empty result. Other columns are not carried.
     """
     ship(df.sparkSession)

@@ -237,6 +237,29 @@ def test_secrets_behind_names_and_paths():
         assert not secrets.random_spans(f"see {ordinary} there", count), ordinary
 
 
+def test_random_strings_recall_and_precision(texts):
+    """Planted keys of several alphabets and lengths, and ordinary long strings: at least 95 % of the first, at most 2 % of the second."""
+    count, r = secrets._counter(secrets.rank_file()), random.Random(9)
+    alphabets = (string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/")
+    keys = ["".join(r.choices(a, k=r.randint(20, 64))) for a in alphabets for _ in range(250)]
+    caught = sum(any(a < 4 + len(k) and b > 4 for a, b, _ in secrets.random_spans(f"key {k} end", count)) for k in keys)
+    words = sorted({w.lower() for t in texts.values() for w in re.findall("[A-Za-z]{4,12}", t)})
+    ordinary = [r.choice("-_/").join(r.choices(words, k=r.randint(3, 6))) for _ in range(300)] + [str(r.randint(10**21, 10**22)) for _ in range(50)]
+    ordinary += [hashlib.sha1(str(k).encode()).hexdigest().upper() for k in range(50)]
+    flagged = sum(bool(secrets.random_spans(f"see {w} there", count)) for w in ordinary)
+    assert caught >= 0.95 * len(keys) and flagged <= 0.02 * len(ordinary), (caught, flagged, len(ordinary))
+
+
+def test_spans_taken_are_not_found_again():
+    count, r = secrets._counter(secrets.rank_file()), random.Random(10)
+    parts = ["".join(r.choices(string.ascii_letters + string.digits, k=24)) for _ in range(200)]
+    text = " ".join(f"token={p}" if k % 3 == 0 else p for k, p in enumerate(parts))
+    base = secrets.base_spans(text)
+    every = secrets.random_spans(text, count)
+    assert secrets.random_spans(text, count, base) == [s for s in every if not any(x < s[1] and s[0] < y for x, y, _ in base)]
+    assert secrets.base_spans("\u017fecret = abcdefgh to\u212aen: abcdefgh") == []
+
+
 def slow_repetition(text):
     """Of op2's base columns n_words, word_chars, n_dup_lines, n_repeat_words."""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -314,6 +337,21 @@ def test_personal_data_in_hard_texts(spark):
         assert r["base_sha256"] == hashlib.sha256(shown(base_pii(HARD[r["doc_id"]])).encode()).hexdigest(), HARD[r["doc_id"]]
 
 
+def test_overlapping_proposals(spark):
+    """A selected proposal is dropped only where a span that stays overlaps it; spelt addresses have no bounds."""
+    long = "x" * 90 + " [at] " + "y" * 70 + ".a.b.c.d.e.org"
+    rows = [f"write to {long} or a [at] x [dot] org", "phone 415-555-0100 SSN 123-45-6789 IBAN DE89370400440532013000", ""]
+    out = [r["spans"] for r in pii.pii_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[0].split(",")[0] == f"email_spelt:9:{9 + len(long)}" and out[0].count("email_spelt") == 2
+    for spans in out:
+        at = sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s)
+        assert all(a[1] <= b[0] for a, b in zip(at, at[1:]))
+    redacted = [r["text"] for r in pii.redact_pii(spark.createDataFrame([(0, None), (1, ""), (2, rows[0])], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert redacted == ["", "", "write to [EMAIL_SPELT] or [EMAIL_SPELT]"]
+    clean = secrets.redact_secrets(spark.createDataFrame([(0, None), (1, ""), (2, "token=abcdefgh x")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == [None, "", "[SECRET] x"]
+
+
 def test_boosted_trees_on_rows_held_out(spark):
     trees, thresholds = pii.model()
     rows = pii.example_rows(1500, seed=99)
