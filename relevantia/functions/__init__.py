@@ -8,16 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649015329
-_MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263, 374761393)
 
 
-def hash_order(row_id: Column, epoch: int = 0) -> Column:
-    """A pseudo-random order of integer ids that any SQL engine computes alike; another one each epoch."""
-    return F.pmod(F.pmod(row_id, F.lit(2147483647)) * F.lit(_MULTIPLIERS[epoch % len(_MULTIPLIERS)]), F.lit(4294967296))
+def hash_order(row_id: Column, epoch: int = 0, seed: int = 0) -> Column:
+    """A pseudo-random order of ids of any type that reads as a string; another one for each seed and epoch, and any SQL engine computes it alike."""
+    return F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), row_id.cast("string")))
 
 
-def hash_order_sql(row_id: str, epoch: int = 0) -> str:
-    return f"((({row_id}) % 2147483647) * {_MULTIPLIERS[epoch % len(_MULTIPLIERS)]}) % 4294967296"
+def hash_order_sql(row_id: str, epoch: int = 0, seed: int = 0) -> str:
+    return f"md5('{seed}:{epoch}:' || ({row_id})::VARCHAR)"
 
 
 #: ln k! below the point from which Stirling's series is exact to double precision.

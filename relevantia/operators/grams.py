@@ -66,6 +66,13 @@ def delta_gram_prefix(df: DataFrame, features: list[str], id_col: str = "id", mb
     return out
 
 
+def prefix_gram(df: DataFrame, features: list[str], kernel: str, id_col: str = "id", mb: str = "mb") -> DataFrame:
+    """(mb, prefix, i, j, k) of each prefix of the features by the kernel named: rbf or delta."""
+    if kernel not in ("rbf", "delta"):
+        raise ValueError(f"no kernel {kernel!r}")
+    return (rbf_gram_prefix if kernel == "rbf" else delta_gram_prefix)(df, features, id_col, mb)
+
+
 def mixed_gram(df: DataFrame, discrete: list[str], continuous: list[str], id_col: str = "id", mb: str = "mb") -> DataFrame:
     """Delta kernels of the discrete and RBF kernels of the continuous features."""
     return delta_gram(long_form(df, discrete, id_col, mb, "long")).unionByName(rbf_gram(long_form(df, continuous, id_col, mb)))

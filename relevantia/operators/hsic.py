@@ -7,8 +7,6 @@ contingency table; no pair is formed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +16,7 @@ from ..shipping import ship
 from .sampling import assign_batches
 
 RBF, DELTA = "rbf", "delta"
+STRIP_BYTES = 64 << 20
 
 
 def delta_product(df: DataFrame, a: list[str], b: list[str], by: list[str] = ()) -> DataFrame:
@@ -39,21 +38,38 @@ def delta_matrix(df: DataFrame, features: list[str], by: list[str] = ()) -> Data
     return terms.groupBy(*key).agg((F.sum(F.col("nab") * F.col("nab") / (F.col("na") * F.col("nb").cast("double"))) - 1.0).alias("product"))
 
 
-def gram(values: np.ndarray, kernel: str, scale: float) -> np.ndarray:
-    """The Gram matrix of rows of values under one joint kernel."""
+def gram(values: np.ndarray, kernel: str, scale: float, rows: slice = slice(None)) -> np.ndarray:
+    """Rows of the Gram matrix of rows of values under one joint kernel."""
     if kernel == DELTA:
         _, code, n = np.unique(values, axis=0, return_inverse=True, return_counts=True)
         code = code.ravel()
-        return (code[:, None] == code[None, :]) / n[code][:, None]
-    d = np.zeros((len(values), len(values)))
+        return (code[rows, None] == code[None, :]) / n[code][rows, None]
+    d = 0.0
     for c in values.T:
-        d += (c[:, None] - c[None, :]) ** 2
+        d = d + (c[rows, None] - c[None, :]) ** 2
     return np.exp(-d / (2.0 * scale * scale))
 
 
-def centred(k: np.ndarray) -> np.ndarray:
-    r = k.mean(axis=0)
-    return k - r[:, None] - r[None, :] + r.mean()
+def products_of(columns: list[tuple[np.ndarray, str, float]]) -> np.ndarray:
+    """All products <HK_aH, HK_bH> of the kernels of (values, kernel, scale), by strips of rows of the Gram matrices.
+
+    A first pass over the strips finds the means that centre them.
+    """
+    n, d = len(columns[0][0]), len(columns)
+    step = max(1, STRIP_BYTES // (8 * n * d))
+    strips = [slice(i, i + step) for i in range(0, n, step)]
+    means = np.empty((d, n))
+    for rows in strips:
+        for i, c in enumerate(columns):
+            means[i, rows] = gram(*c, rows).mean(axis=1)
+    m = np.zeros((d, d))
+    for rows in strips:
+        phi = np.empty((d, len(range(*rows.indices(n))), n))
+        for i, c in enumerate(columns):
+            phi[i] = gram(*c, rows) - means[i, rows, None] - means[i][None, :] + means[i].mean()
+        phi = phi.reshape(d, -1)
+        m += phi @ phi.T
+    return m
 
 
 def _blocked(df: DataFrame, x: list[str], y: list[str], id_col: str, block: int) -> DataFrame:
@@ -103,27 +119,24 @@ def hsic_b(df: DataFrame, x: list[str], y: list[str], id_col: str, x_kernel: str
     return sums.agg((trace / (n * n)).alias("hsic"))
 
 
-def hsic_statistics(df: DataFrame, features: list[str], target: list[str], kernels: dict[str, str], y_kernel: str, id_col: str, batch: int, minibatch: int, epochs: int) -> DataFrame:
+def hsic_statistics(df: DataFrame, features: list[str], target: list[str], kernels: dict[str, str], y_kernel: str, id_col: str, batch: int, minibatch: int, epochs: int, seed: int = 0) -> DataFrame:
     """(batch, a, b, v): sums over minibatches of <HK_aH, HK_bH>; b = -1 is the target. Features are standardised already.
 
     The only tables that grow are the rows, once an epoch, and d*(d+3)/2 sums a minibatch, added up map-side.
+    A minibatch' Gram matrices are worked out in strips of STRIP_BYTES, never all at once.
     """
     ship(df.sparkSession)
-    outer = assign_batches(df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, *target])]), "id", batch)
+    outer = assign_batches(df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, *target])]), "id", batch, seed=seed)
     parts = None
     for e in range(epochs):
-        one = assign_batches(outer, "id", minibatch, "mb", e + 1, ["batch"]).withColumn("epoch", F.lit(e))
+        one = assign_batches(outer, "id", minibatch, "mb", e + 1, ["batch"], seed).withColumn("epoch", F.lit(e))
         parts = one if parts is None else parts.unionByName(one)
     y_scale, kinds = float(np.sqrt(len(target))), [kernels[f] for f in features]
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, d = len(pdf), len(features)
-        y = centred(gram(pdf[target].to_numpy(), y_kernel, y_scale)).ravel()
-        phi = np.empty((d + 1, n * n), np.float64)
-        for i, (f, kind) in enumerate(zip(features, kinds)):
-            phi[i] = centred(gram(pdf[[f]].to_numpy(), kind, 1.0)).ravel()
-        phi[d] = y
-        m = phi @ phi.T
+        d = len(features)
+        columns = [(pdf[[f]].to_numpy(), kind, 1.0) for f, kind in zip(features, kinds)] + [(pdf[target].to_numpy(), y_kernel, y_scale)]
+        m = products_of(columns)
         a, b = np.triu_indices(d + 1)
         keep = a < d
         a, b = a[keep], b[keep]
@@ -131,19 +144,3 @@ def hsic_statistics(df: DataFrame, features: list[str], target: list[str], kerne
 
     out = parts.groupBy("batch", "epoch", "mb").applyInPandas(products, "batch long, a int, b int, v double")
     return out.groupBy("batch", "a", "b").agg(F.sum("v").alias("v"))
-
-
-def statistics_by_batch(stats: DataFrame, d: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(batch, M, g) one batch at a time: d^2 numbers each."""
-    batch, m, g = None, np.zeros((d, d)), np.zeros(d)
-    for r in stats.orderBy("batch").toLocalIterator():
-        if batch is not None and r["batch"] != batch:
-            yield batch, m, g
-            m, g = np.zeros((d, d)), np.zeros(d)
-        batch = r["batch"]
-        if r["b"] < 0:
-            g[r["a"]] = r["v"]
-        else:
-            m[r["a"], r["b"]] = m[r["b"], r["a"]] = r["v"]
-    if batch is not None:
-        yield batch, m, g

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import EULER, log_factorial
@@ -119,6 +119,18 @@ def preselect(scores: DataFrame, threshold: float = 0.01) -> DataFrame:
     return scores.select("feature", share.alias("s")).groupBy("feature").agg(F.sum("s").alias("total"), F.max(F.col("s") > threshold).alias("kept"))
 
 
-def prefix_codes(df: DataFrame, features: list[str]) -> list[Column]:
-    """Of each prefix of the features a dense code of its tuple, from 0, in tuple order."""
-    return [(F.dense_rank().over(Window.orderBy(*features[: n + 1])) - 1).alias(f"code_{n + 1}") for n in range(len(features))]
+def prefix_codes(df: DataFrame, features: list[str]) -> DataFrame:
+    """df with ``code_n``, for each prefix of n features a dense code of its tuple, from 0, in tuple order.
+
+    Only distinct tuples of each prefix are ordered; their codes join the rows.
+    """
+    out = df
+    for n in range(1, len(features) + 1):
+        names = features[:n]
+        keys = df.select(*[F.col(f).alias(f"_{i}") for i, f in enumerate(names)]).distinct()
+        keys = keys.withColumn(f"code_{n}", (F.dense_rank().over(Window.orderBy(*[f"_{i}" for i in range(n)])) - 1).cast("int"))
+        same = F.lit(True)
+        for i, f in enumerate(names):
+            same = same & out[f].eqNullSafe(keys[f"_{i}"])
+        out = out.join(keys, same).drop(*[f"_{i}" for i in range(n)])
+    return out

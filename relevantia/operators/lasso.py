@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hsic import DELTA, RBF, hsic_statistics, statistics_by_batch
+from ..shipping import ship
+from .hsic import DELTA, RBF, hsic_statistics
 from .sampling import kind_of, standardise
 
 TINY = 1e-12
@@ -67,38 +69,58 @@ def kernels_of(df: DataFrame, features: list[str], target: list[str]) -> tuple[d
     return {f: DELTA if delta(f) else RBF for f in features}, DELTA if all(map(delta, target)) else RBF
 
 
-def run_batches(df: DataFrame, features: list[str], target: list[str], id_col: str, most: int, batch: int = 1000, minibatch: int = 200, epochs: int = 1) -> list[tuple[list[str], np.ndarray]]:
-    """Per batch the active features in order and the path. One driver round trip of d^2 numbers a batch."""
+def solve(stats: DataFrame, features: list[str], most: int) -> DataFrame:
+    """(batch, step, feature, beta, rank) from hsic_statistics(): each batch is a task's group of d(d+3)/2 sums, solved where it lies.
+
+    ``rank`` is a feature's place in the order of entry, null if it is not active at the end.
+    """
+    ship(stats.sparkSession)
+    d = len(features)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, g = np.zeros((d, d)), np.zeros(d)
+        a, b, v = (pdf[c].to_numpy() for c in "abv")
+        g[a[b < 0]] = v[b < 0]
+        m[a[b >= 0], b[b >= 0]] = v[b >= 0]
+        m = np.triu(m) + np.triu(m, 1).T
+        active, path = nlars(m, g, most)
+        rank = pd.array([active.index(i) if i in active else None for i in range(d)], "Int32")
+        n = len(path)
+        return pd.DataFrame({"batch": pdf["batch"].iloc[0], "step": np.repeat(np.arange(n), d), "feature": features * n, "beta": path.ravel(), "rank": pd.concat([pd.Series(rank)] * n, ignore_index=True)})
+
+    return stats.groupBy("batch").applyInPandas(one, "batch long, step int, feature string, beta double, rank int")
+
+
+def run_batches(df: DataFrame, features: list[str], target: list[str], id_col: str, most: int, batch: int = 1000, minibatch: int = 200, epochs: int = 1, seed: int = 0) -> DataFrame:
+    """solve() of each batch of df; nothing but what is asked of the result reaches the driver. Null features or targets are refused."""
     nulls = df.select(F.count(F.when(F.greatest(*[F.col(c).isNull() for c in [*features, *target]], F.lit(False)), 1)).alias("n")).first()["n"]
     if nulls:
         raise ValueError(f"{nulls} rows have null features or targets")
     kernels, y_kernel = kernels_of(df, features, target)
     scaled = [f for f in features if kernels[f] == RBF] + ([t for t in target] if y_kernel == RBF else [])
     ready = standardise(df, scaled) if scaled else df
-    stats = hsic_statistics(ready, features, target, kernels, y_kernel, id_col, batch, minibatch, epochs)
-    found = [nlars(m, g, most) for _, m, g in statistics_by_batch(stats, len(features))]
-    return [([features[i] for i in active], path) for active, path in found]
+    return solve(hsic_statistics(ready, features, target, kernels, y_kernel, id_col, batch, minibatch, epochs, seed), features, most)
 
 
-def path_rows(df: DataFrame, runs: list[tuple[list[str], np.ndarray]], features: list[str]) -> DataFrame:
-    """(batch, step, feature, beta) of run_batches()."""
-    rows = [(b, s, f, float(v)) for b, (_, path) in enumerate(runs) for s, row in enumerate(path) for f, v in zip(features, row)]
-    return df.sparkSession.createDataFrame(rows, "batch int, step int, feature string, beta double")
+def entries(runs: DataFrame) -> DataFrame:
+    """(batch, rank, feature) of the active features of run_batches()."""
+    return runs.where("step = 0 AND rank IS NOT NULL").select("batch", "rank", "feature")
 
 
 def mean_path(paths: DataFrame) -> DataFrame:
     """(step, feature, beta): batches' paths, each lengthened by its last row to the longest, averaged."""
-    most = paths.groupBy("batch").agg(F.max("step").alias("last")).withColumn("most", F.max("last").over(Window.partitionBy()))
-    ends = paths.join(most, "batch")
-    more = ends.where("step = last AND last < most").select("batch", F.explode(F.sequence(F.col("last") + 1, F.col("most"))).alias("step"), "feature", "beta")
+    last = paths.groupBy("batch").agg(F.max("step").alias("last"))
+    most = paths.agg(F.max("step").alias("most"))  # one row
+    ends = paths.join(last, "batch").where("step = last").crossJoin(F.broadcast(most)).where("last < most")
+    more = ends.select("batch", F.explode(F.sequence(F.col("last") + 1, F.col("most"))).alias("step"), "feature", "beta")
     return paths.select("batch", "step", "feature", "beta").unionByName(more).groupBy("step", "feature").agg(F.avg("beta").alias("beta"))
 
 
-def projection_matrix(df: DataFrame, runs: list[tuple[list[str], np.ndarray]]) -> DataFrame:
+def projection_matrix(runs: DataFrame) -> DataFrame:
     """(rank, feature, weight): the share of batches in which a feature was the rank-th to enter."""
-    rows = [(b, r, f) for b, (active, _) in enumerate(runs) for r, f in enumerate(active)]
-    votes = df.sparkSession.createDataFrame(rows, "batch int, rank int, feature string")
-    return votes.groupBy("rank", "feature").agg((F.count("*") / F.lit(float(max(1, len(runs))))).alias("weight"))
+    n = runs.agg(F.greatest(F.lit(1), F.count_distinct("batch")).alias("n"))  # one row
+    votes = entries(runs).groupBy("rank", "feature").agg(F.count("*").alias("votes"))
+    return votes.crossJoin(F.broadcast(n)).select("rank", "feature", (F.col("votes") / F.col("n")).alias("weight"))
 
 
 def select_k(matrix: DataFrame, features: list[str], k: int) -> list[str]:
@@ -123,5 +145,4 @@ def select_from_path(path: DataFrame, threshold: float = 0.01) -> DataFrame:
 
 def rank_features(df: DataFrame, features: list[str], target: list[str], id_col: str, most: int | None = None, threshold: float = 0.01, **sizes) -> DataFrame:
     """(rank, feature, beta) that autoselection keeps. A single feature is kept if it depends on the target at all."""
-    runs = run_batches(df, features, target, id_col, most or max(1, len(features) - 1), **sizes)
-    return select_from_path(mean_path(path_rows(df, runs, features)), threshold)
+    return select_from_path(mean_path(run_batches(df, features, target, id_col, most or max(1, len(features) - 1), **sizes)), threshold)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import hash_order
 
 CONTINUOUS, DISCRETE = ("float", "double", "decimal"), ("boolean", "tinyint", "smallint", "int", "bigint")
-_BUCKETS = 4096
 
 
 def kind_of(dtype: str) -> str:
@@ -28,13 +27,13 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c).cast("double") - F.lit(stats[f"m_{i}"])) / F.lit(1e-9 + (stats[f"s_{i}"] or 0.0)) for i, c in enumerate(columns)})
 
 
-def positions(df: DataFrame, id_col: str, epoch: int = 0, within: list[str] = ()) -> DataFrame:
+def positions(df: DataFrame, id_col: str, epoch: int = 0, within: list[str] = (), seed: int = 0) -> DataFrame:
     """df with ``pos``, each row's place (from 0) in the hash order of its ids.
 
     Rows are numbered within 4096 ranges of the hash, and ranges start where the counts of
     those before end, so that no task orders the whole table.
     """
-    df = df.withColumn("_h", hash_order(F.col(id_col), epoch)).withColumn("_r", F.floor(F.col("_h") / (4294967296 // _BUCKETS)).cast("int"))
+    df = df.withColumn("_h", hash_order(F.col(id_col), epoch, seed)).withColumn("_r", F.substring("_h", 1, 3))
     counts = df.groupBy(*within, "_r").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*within).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*within, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -42,20 +41,20 @@ def positions(df: DataFrame, id_col: str, epoch: int = 0, within: list[str] = ()
     return df.withColumn("_own", own).join(counts, [*within, "_r"]).withColumn("pos", F.col("_base") + F.col("_own")).drop("_h", "_r", "_own", "_base")
 
 
-def assign_batches(df: DataFrame, id_col: str, size: int, name: str = "batch", epoch: int = 0, within: list[str] = ()) -> DataFrame:
+def assign_batches(df: DataFrame, id_col: str, size: int, name: str = "batch", epoch: int = 0, within: list[str] = (), seed: int = 0) -> DataFrame:
     """df with a batch number; batches have equal size and the remainder of each group is dropped. A size above the group's is the group's."""
     n = df.groupBy(*within).agg(F.count("*").alias("_total")) if within else None
-    out = positions(df, id_col, epoch, within)
+    out = positions(df, id_col, epoch, within, seed)
     out = out.join(n, list(within)) if within else out.withColumn("_total", F.lit(df.count()))
     b = F.greatest(F.lit(1), F.least(F.lit(size), F.col("_total")))
     return out.withColumn(name, F.floor(F.col("pos") / b).cast("long")).where(F.col(name) < F.floor(F.col("_total") / b)).drop("pos", "_total")
 
 
-def replicate_epochs(df: DataFrame, id_col: str, epochs: int) -> DataFrame:
+def replicate_epochs(df: DataFrame, id_col: str, epochs: int, seed: int = 0) -> DataFrame:
     """Every row once an epoch with ``epoch`` and its place ``pos`` in that epoch's order."""
     out = None
     for e in range(epochs):
-        one = positions(df, id_col, e).withColumn("epoch", F.lit(e))
+        one = positions(df, id_col, e, seed=seed).withColumn("epoch", F.lit(e))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lasso import rank_features
 from ..operators.sampling import discretise, kind_of
 from ..operators.search import ami_metric, search
 from .selector import Selection, Selector, mi_scores, select
@@ -23,6 +22,7 @@ class LassoParameters:
     minibatch: int = 500
     epochs: int = 4
     use_preselection: bool = True
+    seed: int = 0
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,10 @@ class FeatureSelection:
     continuous: list[str] = field(default_factory=list)
     categorical: list[str] = field(default_factory=list)
     mis: dict[str, float] = field(default_factory=dict)
+    #: Columns of neither kind, which no operator can take.
+    ignored: list[str] = field(default_factory=list)
+    #: What the lasso found among the continuous columns: orders, curve and path.
+    lasso: Selection | None = None
 
     @property
     def selected(self) -> list[str]:
@@ -56,18 +60,24 @@ def categorical_select(df: DataFrame, features: list[str], target: list[str], p:
     return found
 
 
-def select_features(df: DataFrame, target: list[str], id_col: str, lasso: LassoParameters = LassoParameters(), searching: SearchParameters = SearchParameters()) -> FeatureSelection:
-    """Continuous columns by HSIC-Lasso (after preselection by neighbour MI), discrete ones by the search; other types are ignored."""
+def select_features(df: DataFrame, target: list[str], id_col: str, lasso: LassoParameters = LassoParameters(), searching: SearchParameters = SearchParameters(), categorical: list[str] | None = None, drop_nulls: bool = False) -> FeatureSelection:
+    """Continuous columns by HSIC-Lasso (after preselection by neighbour MI), discrete ones and those named ``categorical`` by the search.
+
+    Columns of other types are ignored, and listed. Rows with nulls are refused, or left out with drop_nulls.
+    """
+    if drop_nulls:
+        df = df.dropna()
     kinds = {c: kind_of(t) for c, t in df.dtypes if c != id_col and c not in target}
-    out = FeatureSelection()
+    known = set(categorical or ())
+    if known - kinds.keys():
+        raise ValueError(f"no such columns: {sorted(known - kinds.keys())}")
+    # A named column is discrete whatever its type: texts and numbers are classes by value.
+    kinds |= dict.fromkeys(known, "discrete")
+    out = FeatureSelection(ignored=[c for c, k in kinds.items() if k == "ignored"])
     continuous = [c for c, k in kinds.items() if k == "continuous"]
-    if continuous and lasso.use_preselection:
-        rows = mi_scores(df, continuous, target, lasso.mi_threshold)
-        out.mis = {f: total for f, (total, _) in rows.items()}
-        continuous = [f for f in continuous if rows[f][1]]
     if continuous:
-        ranked = rank_features(df, continuous, target, id_col, threshold=lasso.hsic_threshold, batch=lasso.batch, minibatch=lasso.minibatch, epochs=lasso.epochs)
-        out.continuous = [r["feature"] for r in ranked.orderBy("rank").collect()]
+        out.lasso = select(df, target, id_col, continuous, lasso.mi_threshold, lasso.hsic_threshold, lasso.use_preselection, lasso.batch, lasso.minibatch, lasso.epochs, lasso.seed)
+        out.mis, out.continuous = out.lasso.mis if lasso.use_preselection else {}, out.lasso.features
     discrete = [c for c, k in kinds.items() if k == "discrete"]
     if discrete:
         out.categorical = categorical_select(df, discrete, target, searching)

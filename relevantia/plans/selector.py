@@ -13,7 +13,7 @@ from ..operators.sampling import kind_of
 
 
 class Selector:
-    """Selects features of df for target columns. Sizes (batch, minibatch, epochs) go to each call.
+    """Selects features of df for target columns. Sizes (batch, minibatch, epochs) and the seed of batches go to each call.
 
     Kernels follow column types: delta for discrete, RBF for continuous columns, so mixed
     tables need no index of where one kind ends. The table is never changed.
@@ -23,12 +23,15 @@ class Selector:
         self.df, self.id_col = df, id_col
         self.target = [target] if isinstance(target, str) else list(target)
         self.features = features or [c for c, t in df.dtypes if c != id_col and c not in self.target and kind_of(t) != "ignored"]
-        self._runs: list | None = None
+        self._runs: DataFrame | None = None
 
     def projection_matrix(self, number: int, **sizes) -> DataFrame:
         """(rank, feature, weight): the share of batches in which a feature entered as the rank-th."""
-        self._runs = lasso.run_batches(self.df, self.features, self.target, self.id_col, number, **sizes)
-        return lasso.projection_matrix(self.df, self._runs)
+        if self._runs is not None:
+            self._runs.unpersist()
+        # Kept, for matrix and path come from the same solves; steps x d rows a batch.
+        self._runs = lasso.run_batches(self.df, self.features, self.target, self.id_col, number, **sizes).persist()
+        return lasso.projection_matrix(self._runs)
 
     def select(self, number: int, **sizes) -> list[str]:
         """The ``number`` features with most votes."""
@@ -38,7 +41,7 @@ class Selector:
         """(step, feature, beta) of the last selection, averaged over batches."""
         if self._runs is None:
             raise RuntimeError("nothing has been selected yet")
-        return lasso.mean_path(lasso.path_rows(self.df, self._runs, self.features))
+        return lasso.mean_path(self._runs)
 
     def regularization_curve(self, **sizes) -> DataFrame:
         """(rank, feature, beta, curve) of a selection of all features but one."""
@@ -79,7 +82,7 @@ def mi_scores(df: DataFrame, features: list[str], target: list[str], threshold:
     return {r["feature"]: (r["total"], r["kept"]) for r in preselect(scores, threshold).collect()}
 
 
-def select(df: DataFrame, target: list[str] | str, id_col: str, features: list[str] | None = None, mi_threshold: float = 1e-5, hsic_threshold: float = 0.01, use_preselection: bool = False, batch: int = 9000, minibatch: int = 800, epochs: int = 3) -> Selection:
+def select(df: DataFrame, target: list[str] | str, id_col: str, features: list[str] | None = None, mi_threshold: float = 1e-5, hsic_threshold: float = 0.01, use_preselection: bool = False, batch: int = 9000, minibatch: int = 800, epochs: int = 3, seed: int = 0) -> Selection:
     """Preselection by neighbour MI where asked for, HSIC-Lasso, then the orders and the curve of its path."""
     own = Selector(df, target, id_col, features)
     mis = dict.fromkeys(own.features, 0.0)
@@ -90,7 +93,7 @@ def select(df: DataFrame, target: list[str] | str, id_col: str, features: list[s
     if not kept:
         return Selection([], mis, [], sorted(mis, key=lambda f: -mis[f]), [], [])
     own = Selector(df, target, id_col, kept)
-    curve = own.regularization_curve(batch=batch, minibatch=minibatch, epochs=epochs).orderBy("rank").collect()
+    curve = own.regularization_curve(batch=batch, minibatch=minibatch, epochs=epochs, seed=seed).orderBy("rank").collect()
     path = own.lasso_path()
     chosen = own.autoselect(hsic_threshold, path)
     return Selection(kept, mis, chosen, sorted(mis, key=lambda f: -mis[f]), [r["feature"] for r in curve][: max(1, len(kept) - 1)], [r["curve"] for r in curve], chosen, path)

@@ -1,8 +1,9 @@
 """The queries of the feature-selection operators over the driver's tables, and their SQL.
 
-Tables: X = embeddings (three of 64 dimensions as columns where entries of Gram matrices are
-listed), O = orders with their customers, V = events, L = lineitem. The tables hold hardly any
-dependence, so selections use targets planted as expressions of real columns.
+Tables: X = embeddings, O = orders with their customers, V = events, L = lineitem. Lasso queries
+take all 64 dimensions of X; queries whose results or time are quadratic in rows (entries of Gram
+matrices, HSIC of prefixes, neighbours) take three of them. The tables hold hardly any dependence,
+so selections use targets planted as expressions of real columns.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import hash_order_sql
 from .operators import grams, hsic, info, lasso, sampling, search
-from .plans import LassoParameters, SearchParameters, categorical_select, select_features
+from .plans import LassoParameters, SearchParameters, Selector, categorical_select, select, select_features
 from .sources import read_features
 
 E = ("e3", "e17", "e40")
@@ -65,12 +66,12 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 
 
-def _planted(spark, d, dims=(3, 5, 9, 17, 21, 33, 40, 52)) -> DataFrame:
+def _planted(spark, d, dims=range(64)) -> DataFrame:
     """X with a planted target: dimensions 3 and 17 alone matter."""
     return x_table(spark, d, list(dims)).drop("label").withColumn("y", F.col("e3") - F.col("e17"))
 
 
-PLANTED = [f"e{i}" for i in (3, 5, 9, 17, 21, 33, 40, 52)]
+PLANTED = [f"e{i}" for i in range(64)]
 SIZES = {"batch": 250, "minibatch": 125, "epochs": 2}
 #: A recorded path of two batches, for the operators that work on paths.
 PATH = [(0, 0, "a", 0.5), (0, 0, "b", 0.0), (0, 0, "c", 0.0), (0, 1, "a", 0.75), (0, 1, "b", 0.25), (0, 1, "c", 0.0), (1, 0, "a", 1.0), (1, 0, "b", 0.0), (1, 0, "c", 0.004)]
@@ -109,7 +110,7 @@ def q_discretise(spark, d):
 def q_prefix_encode(spark, d):
     o = o_table(spark, d)
     combos = o.groupBy("status", "priority", "nation").agg(F.count("*").alias("n"))
-    return combos.select("status", "priority", "nation", "n", *[c.cast("long").alias(f"code_{i + 1}") for i, c in enumerate(info.prefix_codes(combos, ["status", "priority", "nation"]))])
+    return info.prefix_codes(combos, ["status", "priority", "nation"]).withColumns({f"code_{i}": F.col(f"code_{i}").cast("long") for i in (1, 2, 3)})
 
 
 def _x_long(spark, d):
@@ -185,6 +186,13 @@ def q_hsic_vector(spark, d):
     return _rounded(stats.where("b = -1").select(F.element_at(F.array(*map(F.lit, E)), F.col("a") + 1).alias("feature"), "v"), "v", digits=5)
 
 
+def q_hsic_lasso_matrix(spark, d):
+    """M and g together: the products of every pair of kernels, the target's among them."""
+    stats = hsic.hsic_statistics(_planted(spark, d), list(E), ["y"], dict.fromkeys(E, hsic.RBF), hsic.RBF, "id", **SIZES)
+    name = lambda c: F.when(F.col(c) < 0, "y").otherwise(F.get(F.array(*map(F.lit, E)), F.col(c)))
+    return _rounded(stats.select("batch", name("a").alias("a"), name("b").alias("b"), "v"), "v", digits=4)
+
+
 ONE = {"status": ["status"], "priority": ["priority"], "segment": ["segment"]}
 PREFIX = {"1": ["status"], "2": ["status", "priority"], "3": ["status", "priority", "segment"]}
 
@@ -224,19 +232,16 @@ def q_mi_preselect(spark, d):
     return _rounded(info.preselect(scores, 0.3), "total", digits=5)
 
 
-def _runs(spark, d, most=3):
-    df = _planted(spark, d)
-    return df, lasso.run_batches(df, PLANTED, ["y"], "id", most, **SIZES)
+def _runs(spark, d, most=2):
+    return lasso.run_batches(_planted(spark, d), PLANTED, ["y"], "id", most, **SIZES)
 
 
 def q_nlars_path(spark, d):
-    df, runs = _runs(spark, d)
-    return _rounded(lasso.path_rows(df, runs, PLANTED), "beta")
+    return _rounded(_runs(spark, d).select("batch", F.col("step").cast("long").alias("step"), "feature", "beta"), "beta")
 
 
 def q_nlars_active(spark, d):
-    _, runs = _runs(spark, d)
-    return spark.createDataFrame([(b, r, f) for b, (active, _) in enumerate(runs) for r, f in enumerate(active)], "batch int, rank int, feature string")
+    return lasso.entries(_runs(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def q_lasso_path_mean(spark, d):
@@ -244,13 +249,21 @@ def q_lasso_path_mean(spark, d):
 
 
 def q_projection_matrix(spark, d):
-    df, runs = _runs(spark, d)
-    return lasso.projection_matrix(df, runs)
+    return lasso.projection_matrix(_runs(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def q_select_k(spark, d):
-    df, runs = _runs(spark, d, 2)
-    return spark.createDataFrame([(f,) for f in lasso.select_k(lasso.projection_matrix(df, runs), PLANTED, 2)], "feature string")
+    return spark.createDataFrame([(f,) for f in lasso.select_k(lasso.projection_matrix(_runs(spark, d)), PLANTED, 2)], "feature string")
+
+
+def q_selector_select(spark, d):
+    return spark.createDataFrame([(f,) for f in Selector(_planted(spark, d), "y", "id").select(2, **SIZES)], "feature string")
+
+
+def q_select(spark, d):
+    """The staged selection of three features, of which two matter."""
+    found = select(_planted(spark, d), "y", "id", list(E), hsic_threshold=0.05, **SIZES)
+    return spark.createDataFrame([(k + 1, f) for k, f in enumerate(found.features)], "rank long, feature string")
 
 
 def q_regularization_curve(spark, d):
@@ -285,7 +298,7 @@ def q_categorical_select(spark, d):
 
 
 def q_hsic_lasso_rank(spark, d):
-    return _rounded(lasso.rank_features(_planted(spark, d), PLANTED, ["y"], "id", 3, 0.05, **SIZES), "beta")
+    return _rounded(lasso.rank_features(_planted(spark, d), PLANTED, ["y"], "id", 2, 0.05, **SIZES), "beta").withColumn("rank", F.col("rank").cast("long"))
 
 
 def q_select_features(spark, d):
@@ -311,8 +324,78 @@ emi AS (SELECT feature, sum(ma * mb * k / t * ln(t * k / (a::DOUBLE * b)) * exp(
 ami AS (SELECT feature, (mi - emi) / ((hu + hv) / 2 - emi) AS ami FROM mi JOIN emi USING (feature) JOIN hu USING (feature) JOIN hv USING (feature))"""
 
 
-def _pairs_sql(sets: dict[str, list[str]], target: str) -> str:
-    return "c AS (" + " UNION ALL ".join(f"SELECT '{name}' AS feature, concat_ws('|', {', '.join(cols)}) AS u, {target} AS v, count(*) AS n FROM o GROUP BY ALL" for name, cols in sets.items()) + ")"
+def _pairs_sql(sets: dict[str, list[str]], target: str, source: str = "o") -> str:
+    return "c AS (" + " UNION ALL ".join(f"SELECT '{name}' AS feature, concat_ws('|', {', '.join(cols)}) AS u, {target} AS v, count(*) AS n FROM {source} GROUP BY ALL" for name, cols in sets.items()) + ")"
+
+
+def _lasso_sql(features: list[str], standardised: bool = True) -> str:
+    """CTEs up to c (centred Gram entries by batch, epoch, minibatch and feature), with SIZES; the target is y."""
+    batch, size, n_epochs = SIZES["batch"], SIZES["minibatch"], SIZES["epochs"]
+    each = " UNION ALL ".join(
+        f"SELECT *, {e} AS epoch, pos // least({size}, n) AS mb FROM (SELECT id, batch, row_number() OVER (PARTITION BY batch ORDER BY {hash_order_sql('id', e)}, id) - 1 AS pos, count(*) OVER (PARTITION BY batch) AS n FROM b)"
+        for e in range(1, n_epochs + 1)
+    )
+    scale = "(x - avg(x) OVER (PARTITION BY feature)) / (1e-9 + stddev_pop(x) OVER (PARTITION BY feature))" if standardised else "x"
+    cell = "batch, epoch, mb, feature"
+    return f"""l AS (SELECT vec_id AS id, 'e' || k AS feature, embedding[k + 1]::DOUBLE AS x FROM embeddings, unnest([{", ".join(f[1:] for f in features)}]) r(k)
+ UNION ALL SELECT vec_id, 'y', embedding[4]::DOUBLE - embedding[18]::DOUBLE FROM embeddings),
+z AS (SELECT id, feature, {scale} AS x FROM l),
+o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {hash_order_sql('vec_id')}, vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings),
+b AS (SELECT id, pos // least({batch}, n) AS batch FROM o WHERE pos // least({batch}, n) < n // least({batch}, n)),
+p AS ({each}), r AS (SELECT batch, epoch, mb, id, feature, x FROM p JOIN z USING (id) WHERE mb < n // least({size}, n)),
+k AS (SELECT a.batch, a.epoch, a.mb, a.feature, a.id AS i, b.id AS j, exp(-(a.x - b.x) * (a.x - b.x) / 2.0) AS k FROM r a JOIN r b ON a.batch = b.batch AND a.epoch = b.epoch AND a.mb = b.mb AND a.feature = b.feature),
+km AS (SELECT {cell}, i, avg(k) AS m FROM k GROUP BY ALL), ka AS (SELECT {cell}, avg(m) AS m FROM km GROUP BY ALL),
+c AS (SELECT k.batch, k.epoch, k.mb, k.feature, k.i, k.j, k.k - u.m - v.m + ka.m AS k FROM k JOIN km u ON (k.batch, k.epoch, k.mb, k.feature, k.i) = (u.batch, u.epoch, u.mb, u.feature, u.i)
+ JOIN km v ON (k.batch, k.epoch, k.mb, k.feature, k.j) = (v.batch, v.epoch, v.mb, v.feature, v.i) JOIN ka ON (k.batch, k.epoch, k.mb, k.feature) = (ka.batch, ka.epoch, ka.mb, ka.feature))"""
+
+
+_CELL = "s.batch = t.batch AND s.epoch = t.epoch AND s.mb = t.mb AND s.i = t.i AND s.j = t.j"
+
+
+def _lars_sql(features: list[str]) -> str:
+    """CTEs up to path(batch, step, feature, beta) and active(batch, rank, feature): two steps of the path, by hand, with M's columns of the two features that enter."""
+    return f"""WITH {_lasso_sql(features)},
+g AS (SELECT s.batch, s.feature, sum(s.k * t.k) AS g FROM c s JOIN c t ON {_CELL} WHERE s.feature <> 'y' AND t.feature = 'y' GROUP BY ALL),
+f1 AS (SELECT batch, arg_max(feature, g) AS f, max(g) AS g1 FROM g GROUP BY batch),
+m1 AS (SELECT s.batch, t.feature, sum(s.k * t.k) AS m FROM (SELECT c.* FROM c JOIN f1 ON c.batch = f1.batch AND c.feature = f1.f) s JOIN c t ON {_CELL} WHERE t.feature <> 'y' GROUP BY ALL),
+d1 AS (SELECT m1.batch, m1.m AS m11 FROM m1 JOIN f1 ON m1.batch = f1.batch AND m1.feature = f1.f),
+a1 AS (SELECT g.batch, g.feature, g.g, m1.m, m11, g1, f, (g1 - g.g) / (1.0 - m1.m / m11) AS step FROM g JOIN m1 USING (batch, feature) JOIN d1 USING (batch) JOIN f1 USING (batch)),
+b1 AS (SELECT batch, least(any_value(g1), coalesce(min(step) FILTER (feature <> f AND step > 1e-12), any_value(g1))) / any_value(m11) AS b FROM a1 GROUP BY batch),
+c1 AS (SELECT a1.*, g - m * b AS c, b FROM a1 JOIN b1 USING (batch)),
+f2 AS (SELECT batch, arg_max(feature, c) AS f2 FROM c1 WHERE feature <> f GROUP BY batch),
+m2 AS (SELECT s.batch, t.feature, sum(s.k * t.k) AS m2 FROM (SELECT c.* FROM c JOIN f2 ON c.batch = f2.batch AND c.feature = f2.f2) s JOIN c t ON {_CELL} WHERE t.feature <> 'y' GROUP BY ALL),
+d2 AS (SELECT f2.batch, f2, m2.m2 AS m22, c1.m AS m12 FROM f2 JOIN m2 ON m2.batch = f2.batch AND m2.feature = f2.f2 JOIN c1 ON c1.batch = f2.batch AND c1.feature = f2.f2),
+w AS (SELECT d2.*, m11, (m22 - m12) / (m11 * m22 - m12 * m12) AS w1, (m11 - m12) / (m11 * m22 - m12 * m12) AS w2 FROM d2 JOIN d1 USING (batch)),
+a2 AS (SELECT c1.batch, c1.feature, c1.f, w.f2, c1.b, w1, w2, l.c AS lead, (l.c - c1.c) / (1.0 - (c1.m * w1 + m2.m2 * w2)) AS step
+       FROM c1 JOIN m2 USING (batch, feature) JOIN w USING (batch) JOIN c1 l ON l.batch = c1.batch AND l.feature = c1.f),
+s2 AS (SELECT batch, any_value(f) AS f, any_value(f2) AS f2, any_value(b) AS b, any_value(w1) AS w1, any_value(w2) AS w2,
+              least(any_value(lead), coalesce(min(step) FILTER (feature <> f AND feature <> f2 AND step > 1e-12), any_value(lead))) AS step FROM a2 GROUP BY batch),
+path AS (SELECT g.batch, n AS step, g.feature, CASE WHEN g.feature = f THEN b + n * s2.step * w1 WHEN g.feature = f2 THEN n * s2.step * w2 ELSE 0.0 END AS beta FROM g JOIN s2 USING (batch), range(2) x(n)),
+active AS (SELECT batch, 0::BIGINT AS rank, f AS feature FROM s2 UNION ALL SELECT batch, 1, f2 FROM s2),
+mean AS (SELECT feature, avg(beta) AS beta FROM path WHERE step = 1 GROUP BY feature),
+ranked AS (SELECT row_number() OVER (ORDER BY beta DESC, feature) AS rank, feature, beta FROM mean WHERE beta / (SELECT max(beta) FROM mean) > 0.05)"""
+
+
+def _prefix_sets(names: list[str], permutations: int, seed: int) -> list[tuple[str, ...]]:
+    """The sets of features that a search's first round scores."""
+    n = len(names)
+    orders = search.haar_permutations(n, min(max(1, permutations // n), max(1, 2**n // n)), seed)
+    return sorted({tuple(sorted(names[i] for i in p[:k])) for p in orders for k in range(1, n + 1)})
+
+
+def _search_sql(names: list[str], permutations: int, seed: int, target: str, source: str, rounds: int = 1) -> str:
+    """The search by adjusted MI with add_back over its listed prefixes; a second round takes any set of what the first leaves (of two features at most)."""
+    listed = _prefix_sets(names, permutations, seed)
+    every = [tuple(sorted(n for k, n in enumerate(names) if i >> k & 1)) for i in range(1, 2 ** len(names))]
+    sets = {str(i): list(s) for i, s in enumerate(every)}
+    members = ", ".join(f"('{i}', '{f}')" for i, s in sets.items() for f in s)
+    first = ", ".join(f"'{i}'" for i, s in enumerate(every) if s in listed)
+    alone = ", ".join(f"'{i}'" for i, s in enumerate(every) if len(s) == 1)
+    second = f"SELECT arg_max(feature, ami) AS id, max(ami) AS v FROM ami WHERE feature NOT IN (SELECT id FROM e WHERE f IN (SELECT f FROM e JOIN best USING (id))) HAVING max(ami) >= 0.05 * (SELECT v FROM best) AND max(ami) > 0"
+    return f"""{_pairs_sql(sets, target, source)}, {_MI},
+e(id, f) AS (VALUES {members}), best AS (SELECT arg_max(feature, ami) AS id, max(ami) AS v FROM ami WHERE feature IN ({first})),
+next AS ({second if rounds > 1 else "SELECT * FROM best WHERE false"}), picked AS (SELECT * FROM best WHERE v > 0 UNION ALL SELECT * FROM next)
+SELECT DISTINCT f AS feature FROM e WHERE id IN (SELECT id FROM picked) OR id IN (SELECT feature FROM ami WHERE feature IN ({alone}) AND ami > 0.05 * (SELECT max(v) FROM picked))"""
 
 
 _LEVELS = ", ".join(repr(0.1 + 0.8 * i / 9) for i in range(10))
@@ -353,6 +436,11 @@ def oracle_sql() -> dict[str, str]:
     names = ["status", "priority", "segment", "nation"]
     info_of = lambda sets: f"WITH {O_SQL}, {_pairs_sql(sets, 'nation')}, {_MI}"
     planted_y = _pairs_sql(ONE, "status + priority")
+    lars, lars_e = _lars_sql(PLANTED), _lars_sql(list(E))
+    by_set = " UNION ALL ".join(
+        f"SELECT '{','.join(s)}' AS fs, a.id AS i, exp(-({' + '.join(f'(a.{e} - b.{e}) ** 2' for e in s)}) / {2.0 * len(s)}) AS k, CASE WHEN a.y = b.y THEN 1.0 / a.n ELSE 0 END::DOUBLE AS l FROM y a CROSS JOIN y b"
+        for s in _prefix_sets(list(E), 1, 3)
+    )
     return {
         "standardise": f"WITH {O_SQL} SELECT id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / (1e-9 + stddev_pop({c}) OVER ()), 6) + 0.0 AS {c}" for c in ("o_totalprice", "c_acctbal")) + " FROM o",
         "split_by_type": "SELECT * FROM (VALUES ('id', 'discrete'), ('o_totalprice', 'continuous'), ('c_acctbal', 'continuous'), ('o_orderstatus', 'ignored'), ('o_orderpriority', 'ignored'), ('c_mktsegment', 'ignored'), ('c_nationkey', 'discrete'), ('status', 'discrete'), ('priority', 'discrete'), ('segment', 'discrete'), ('nation', 'discrete')) v(feature, kind)",
@@ -388,6 +476,22 @@ SELECT feature, round(sum(k / y.same), 5) + 0.0 AS v FROM c JOIN y ON c.mb = y.m
         "featurewise_ami_select": f"WITH {O_SQL}, {planted_y}, {_MI} SELECT feature FROM ami WHERE ami > 0.05",
         "knn_mi_regression": f"WITH {X_SQL}, {_DIGAMMA}, {_KSG} SELECT feature, round(mi, 6) + 0.0 AS mi FROM k",
         "mi_preselect": f"WITH {X_SQL}, {_DIGAMMA}, {_KSG} SELECT feature, round(mi / max(mi) OVER (), 5) + 0.0 AS total, mi / max(mi) OVER () > 0.3 AS kept FROM k",
+        "hsic_lasso_matrix": f"""WITH {_lasso_sql(list(E), False)} SELECT s.batch, s.feature AS a, t.feature AS b, round(sum(s.k * t.k), 4) + 0.0 AS v
+FROM c s JOIN c t ON {_CELL} WHERE s.feature <> 'y' AND (t.feature = 'y' OR array_position({list(E)}, t.feature) >= array_position({list(E)}, s.feature)) GROUP BY ALL""",
+        "nlars_path": f"{lars} SELECT batch, step, feature, round(beta, 6) + 0.0 AS beta FROM path",
+        "nlars_active": f"{lars} SELECT batch, rank, feature FROM active",
+        "projection_matrix": f"{lars} SELECT rank, feature, count(*) / (SELECT count(DISTINCT batch) FROM active)::DOUBLE AS weight FROM active GROUP BY rank, feature",
+        "select_k": f"{lars} SELECT feature FROM active GROUP BY feature ORDER BY count(*) DESC, substr(feature, 2)::INT DESC LIMIT 2",
+        "selector_select": f"{lars} SELECT feature FROM active GROUP BY feature ORDER BY count(*) DESC, substr(feature, 2)::INT DESC LIMIT 2",
+        "hsic_lasso_rank": f"{lars} SELECT rank, feature, round(beta, 6) + 0.0 AS beta FROM ranked",
+        "select": f"{lars_e} SELECT rank, feature FROM ranked",
+        "ami_search": f"WITH {O_SQL}, {_search_sql(names, 1, 3, 'status * 10 + priority', 'o')}",
+        "categorical_select": f"""WITH {O_SQL}, q AS (SELECT unnest(quantile_cont(status * 10.0::DOUBLE + priority, [{_LEVELS}])) AS q, min(status * 10.0::DOUBLE + priority) AS low FROM o), cut AS (SELECT DISTINCT q FROM q WHERE q > low),
+oy AS (SELECT *, (SELECT count(*) FROM cut WHERE status * 10.0::DOUBLE + priority > cut.q) AS y FROM o), {_search_sql(names[:3], 1, 3, 'y', 'oy', 2)}""",
+        "hsic_search": f"""WITH {X_SQL}, y AS (SELECT *, (e3 > e17)::INT AS y, count(*) OVER (PARTITION BY e3 > e17) AS n FROM x), g AS ({by_set}),
+s AS (SELECT fs, i, sum(k) AS k, sum(l) AS l, sum(k * l) AS kl FROM g GROUP BY fs, i),
+h AS (SELECT fs, sum(kl) - 2.0 / count(*) * sum(k * l) + sum(k) * sum(l) / (count(*)::DOUBLE * count(*)) AS h FROM s GROUP BY fs)
+SELECT unnest(string_split(arg_max(fs, h), ',')) AS feature FROM h""",
         "lasso_path_mean": f"WITH {PATH_SQL}, {MEAN_SQL} SELECT step, feature, round(beta, 6) + 0.0 AS beta FROM mp",
         "regularization_curve": f"WITH {PATH_SQL}, {MEAN_SQL}, z AS (SELECT * FROM mp WHERE step = (SELECT max(step) FROM mp)) SELECT row_number() OVER (ORDER BY beta DESC, feature) AS rank, feature, round(beta, 6) + 0.0 AS beta, round(sum(beta) OVER (ORDER BY beta DESC, feature), 6) + 0.0 AS curve FROM z",
         "select_threshold": f"WITH {PATH_SQL}, {MEAN_SQL}, z AS (SELECT * FROM mp WHERE step = (SELECT max(step) FROM mp)) SELECT row_number() OVER (ORDER BY beta DESC, feature) AS rank, feature, round(beta, 6) + 0.0 AS beta FROM z WHERE beta / (SELECT max(beta) FROM z) > 0.01",

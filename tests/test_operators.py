@@ -63,7 +63,12 @@ def test_statistics_are_sums_over_minibatches(spark):
     cols = {"a": rng.random(60), "k": rng.integers(0, 3, 60), "y": rng.random(60)}
     df = frame(spark, cols)
     stats = hsic.hsic_statistics(df, ["a", "k"], ["y"], {"a": hsic.RBF, "k": hsic.DELTA}, hsic.RBF, "id", 1000, 20, 2)
-    (_, m, g), = hsic.statistics_by_batch(stats, 2)
+    m, g = np.zeros((2, 2)), np.zeros(2)
+    for r in stats.collect():
+        if r["b"] < 0:
+            g[r["a"]] = r["v"]
+        else:
+            m[r["a"], r["b"]] = m[r["b"], r["a"]] = r["v"]
     want_m, want_g = np.zeros((2, 2)), np.zeros(2)
     outer = sampling.assign_batches(df, "id", 1000)
     for e in (1, 2):
@@ -76,11 +81,56 @@ def test_statistics_are_sums_over_minibatches(spark):
     assert np.allclose(m, want_m) and np.allclose(g, want_g)
 
 
+def test_products_by_strips_equal_whole_matrices(monkeypatch):
+    rng = np.random.default_rng(13)
+    columns = [(rng.random((90, 1)), hsic.RBF, 1.0), (rng.integers(0, 4, (90, 1)), hsic.DELTA, 1.0), (rng.random((90, 2)), hsic.RBF, 2**0.5)]
+    phi = np.stack([centred(hsic.gram(*c)).ravel() for c in columns])
+    for size in (1, 8 * 90 * 3 * 7, 64 << 20):
+        monkeypatch.setattr(hsic, "STRIP_BYTES", size)
+        assert np.allclose(hsic.products_of(columns), phi @ phi.T)
+
+
+def test_orders_of_any_ids_differ_by_epoch_and_seed(spark):
+    """String ids work; no two of ten epochs or of two seeds give the same order, and an order repeats by its seed."""
+    df = spark.range(60).selectExpr("concat('u', id) AS id")
+    order = lambda e, s=0: [r["id"] for r in sampling.positions(df, "id", e, seed=s).orderBy("pos").collect()]
+    found = [order(e) for e in range(10)] + [order(0, 1)]
+    assert len(set(map(tuple, found))) == 11 and order(0) == found[0] and sorted(found[3]) == sorted(found[0])
+    assert sampling.assign_batches(df, "id", 20, seed=5).groupBy("batch").count().count() == 3
+
+
+def test_large_minibatches_stay_small():
+    """300 features and minibatches of 800 rows: far below the 1.5 GB of all Gram matrices."""
+    import tracemalloc
+
+    rng = np.random.default_rng(14)
+    columns = [(rng.random((800, 1)), hsic.RBF, 1.0) for _ in range(301)]
+    tracemalloc.start()
+    hsic.products_of(columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+def test_columns_named_categorical_and_rows_with_nulls(spark):
+    rng = np.random.default_rng(15)
+    u = rng.integers(0, 4, 600)
+    df = frame(spark, {"s": np.array(["a", "b", "c", "d"])[u], "c": rng.random(600), "y": u}).selectExpr("*", "'t' AS t")
+    one = {"batch": 600, "minibatch": 100, "epochs": 1, "use_preselection": False}
+    found = select_features(df, ["y"], "id", LassoParameters(**one), SearchParameters(), categorical=["s"])
+    assert found.categorical == ["s"] and found.ignored == ["t"] and found.lasso.lasso_path.count() > 0
+    with pytest.raises(ValueError):
+        select_features(df, ["y"], "id", categorical=["none"])
+    holes = df.selectExpr("id", "s", "IF(id < 5, NULL, c) AS c", "y")
+    assert select_features(holes, ["y"], "id", LassoParameters(**one), categorical=["s"], drop_nulls=True).categorical == ["s"]
+
+
 def test_grams_of_prefixes_equal_joint_ones(spark):
     rng = np.random.default_rng(6)
     df = frame(spark, {"a": rng.random(15), "b": rng.random(15)}).selectExpr("*", "0 AS mb")
     prefix = {(r["i"], r["j"]): r["k"] for r in grams.rbf_gram_prefix(df, ["a", "b"]).where("prefix = 2").collect()}
     joint = {(r["i"], r["j"]): r["k"] for r in grams.rbf_gram_joint(df, ["a", "b"], 2**0.5).collect()}
+    assert grams.prefix_gram(df, ["a", "b"], "rbf").count() == grams.rbf_gram_prefix(df, ["a", "b"]).count() and grams.prefix_gram(df, ["a"], "delta").count() == 15
     assert prefix.keys() == joint.keys() and all(prefix[p] == pytest.approx(joint[p]) for p in joint)
 
 
