@@ -44,7 +44,7 @@ _NUMBERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "N")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The words, windows of symbols and pairs of tokens kept between batches; beyond it a table
 #: starts anew. Results do not depend on it.
-KEPT_WORDS, KEPT_WINDOWS, KEPT_PAIRS = 400_000, 400_000, 1_000_000
+KEPT_WORDS, KEPT_WINDOWS, KEPT_PAIRS = 200_000, 200_000, 400_000
 WINDOW = 4
 
 
@@ -361,7 +361,7 @@ def _digests(path: str):
         bpe = loaded(path)
         schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         for batch in batches:
-            for start, texts in chunks(batch, "text"):
+            for start, texts in chunks(batch, "text", 2_000_000):
                 rows = []
                 cut, (decimal, shown) = bpe.table(bpe.decimal, bpe.decode).take(texts)
                 for c in cut:
