@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .info import label_pairs
 from .sampling import assign_batches
 
 RBF, DELTA = "rbf", "delta"
@@ -80,43 +81,88 @@ def _blocked(df: DataFrame, x: list[str], y: list[str], id_col: str, block: int)
     return rows.select("*", other.alias("o")).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "id", "x", "y")
 
 
-def hsic_b(df: DataFrame, x: list[str], y: list[str], id_col: str, x_kernel: str = RBF, y_kernel: str = RBF, block: int = 1000) -> DataFrame:
-    """One row ``hsic``: biased HSIC trace(KHLH)/n^2 of the whole table, scales sqrt of the numbers of columns.
+def chains(sets: list[tuple[str, ...]]) -> list[list[int]]:
+    """Positions of sets, dealt to chains in which each set holds the one before it."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        own = next((c for c in out if set(sets[c[-1]]) <= set(sets[i])), None)
+        if own is None:
+            out.append([i])
+        else:
+            own.append(i)
+    return out
+
+
+def _delta_b_sets(df: DataFrame, sets: list[tuple[str, ...]], y: list[str]) -> DataFrame:
+    target = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(y)]), {"ignoreNullFields": "false"})
+    cells = label_pairs(df.withColumn("_target", target), {str(i): list(s) for i, s in enumerate(sets)}, "_target")
+    na, nb = cells.groupBy("feature", "u").agg(F.sum("n").alias("na")), cells.groupBy("feature", "v").agg(F.sum("n").alias("nb"))
+    terms = cells.join(na, ["feature", "u"]).join(nb, ["feature", "v"])
+    product, n = F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb").cast("double"))) - 1.0, F.sum("n")
+    return terms.groupBy(F.col("feature").cast("int").alias("set")).agg((product / (n * n)).alias("hsic"))
 
-    Two delta kernels use counts. Otherwise pairs of blocks are tasks of block^2 pairs; they
-    give row sums, which meet by row.
+
+def hsic_b_sets(df: DataFrame, sets: list[tuple[str, ...]], y: list[str], id_col: str, x_kernel: str = RBF, y_kernel: str = RBF, block: int = 1000) -> DataFrame:
+    """(set, hsic) for each position in sets: biased HSIC trace(KHLH)/n^2 of its columns with y over the whole table, in one plan.
+
+    Scales are the square roots of the numbers of columns. Two delta kernels use counts.
+    Otherwise pairs of blocks are tasks of block^2 pairs, which meet each set in turn: sets
+    that hold another one go on from its distances. They give row sums, which meet by row. An empty table gives no row.
     """
     if x_kernel == y_kernel == DELTA:
-        return delta_product(df, x, y).crossJoin(F.broadcast(df.agg(F.count("*").alias("n")))).select((F.col("product") / (F.col("n") * F.col("n"))).alias("hsic"))
+        return _delta_b_sets(df, sets, y)
     ship(df.sparkSession)
-    sx, sy = np.sqrt(len(x)), np.sqrt(len(y))
-    for cols, kernel, name in ((x, x_kernel, "nx"), (y, y_kernel, "ny")):
-        if kernel == DELTA:
-            df = df.join(df.groupBy(*cols).agg(F.count("*").alias(name)), cols)
-        else:
-            df = df.withColumn(name, F.lit(1))
-    rows = _blocked(df, [*x, "nx"], [*y, "ny"], id_col, block)
-
-    def kernel_of(a: np.ndarray, b: np.ndarray, kernel: str, scale: float) -> np.ndarray:
-        d = ((a[:, None, :-1] - b[None, :, :-1]) ** 2).sum(axis=2)
-        return (d == 0) / a[:, None, -1] if kernel == DELTA else np.exp(-d / (2.0 * scale * scale))
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    at = [[columns.index(c) for c in s] for s in sets]
+    order, kind = chains(sets), df.schema[id_col].dataType.simpleString()
+    counts = []
+    for i, s in enumerate(sets if x_kernel == DELTA else ()):
+        counts.append(f"_n{i}")
+        df = df.join(df.groupBy(*s).agg(F.count("*").alias(f"_n{i}")), list(s))
+    if y_kernel == DELTA:
+        df = df.join(df.groupBy(*y).agg(F.count("*").alias("_ny")), list(y))
+    rows = _blocked(df, [*columns, *counts], [*y, *(["_ny"] if y_kernel == DELTA else [])], id_col, block)
+
+    def kernel_of(d: np.ndarray, size: int, n: np.ndarray | None) -> np.ndarray:
+        return np.exp(-d / (2.0 * size)) if n is None else (d == 0) / n[:, None]
+
+    def apart(a: np.ndarray, b: np.ndarray, which: list[int]) -> np.ndarray:
+        d = np.zeros((len(a), len(b)))
+        for c in which:
+            d += (a[:, c, None] - b[None, :, c]) ** 2
+        return d
 
     def terms(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
         left, right = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "k": [], "l": [], "kl": []}).astype({"id": "int64"})
-        k, m = (kernel_of(np.stack(left[c].to_numpy()), np.stack(right[c].to_numpy()), kind, s) for c, kind, s in (("x", x_kernel, sx), ("y", y_kernel, sy)))
-        out = pd.DataFrame({"id": left["id"].to_numpy(), "k": k.sum(1), "l": m.sum(1), "kl": (k * m).sum(1)})
-        if p == q:
-            return out
-        return pd.concat([out, pd.DataFrame({"id": right["id"].to_numpy(), "k": k.sum(0), "l": m.sum(0), "kl": (k * m).sum(0)})])
-
-    sums = rows.groupBy("p", "q").applyInPandas(terms, "id long, k double, l double, kl double")
-    sums = sums.groupBy("id").agg(F.sum("k").alias("k"), F.sum("l").alias("l"), F.sum("kl").alias("kl"))
+            none = np.empty(0)
+            return pd.DataFrame({"set": np.empty(0, np.int32), "id": pdf["id"].iloc[:0], "k": none, "l": none, "kl": none})
+        xa, ya, xb, yb = (np.stack(rows[c].to_numpy()) for rows, c in ((left, "x"), (left, "y"), (right, "x"), (right, "y")))
+        m = kernel_of(apart(ya, yb, list(range(len(y)))), len(y), ya[:, -1] if y_kernel == DELTA else None)
+        out = []
+        for chain in order:
+            d, known = np.zeros(m.shape), set()
+            for i in chain:
+                d += apart(xa, xb, [c for c in at[i] if c not in known])
+                known |= set(at[i])
+                k = kernel_of(d, len(at[i]), xa[:, len(columns) + i] if counts else None)
+                for side, axis in ((left, 1), (right, 0))[: 1 if p == q else 2]:
+                    out.append(pd.DataFrame({"set": np.int32(i), "id": side["id"].to_numpy(), "k": k.sum(axis), "l": m.sum(axis), "kl": (k * m).sum(axis)}))
+        return pd.concat(out)
+
+    sums = rows.groupBy("p", "q").applyInPandas(terms, f"set int, id {kind}, k double, l double, kl double")
+    sums = sums.groupBy("set", "id").agg(F.sum("k").alias("k"), F.sum("l").alias("l"), F.sum("kl").alias("kl"))
     n = F.count("*").cast("double")
     trace = F.sum("kl") - 2.0 / n * F.sum(F.col("k") * F.col("l")) + F.sum("k") * F.sum("l") / (n * n)
-    return sums.agg((trace / (n * n)).alias("hsic"))
+    return sums.groupBy("set").agg((trace / (n * n)).alias("hsic"))
+
+
+def hsic_b(df: DataFrame, x: list[str], y: list[str], id_col: str, x_kernel: str = RBF, y_kernel: str = RBF, block: int = 1000) -> DataFrame:
+    """One row ``hsic``: hsic_b_sets() of one set of columns; null for an empty table."""
+    if x_kernel == y_kernel == DELTA:
+        return delta_product(df, x, y).crossJoin(F.broadcast(df.agg(F.count("*").alias("n")))).select((F.col("product") / (F.col("n") * F.col("n"))).alias("hsic"))
+    return hsic_b_sets(df, [tuple(x)], y, id_col, x_kernel, y_kernel, block).agg(F.first("hsic").alias("hsic"))
 
 
 def hsic_statistics(df: DataFrame, features: list[str], target: list[str], kernels: dict[str, str], y_kernel: str, id_col: str, batch: int, minibatch: int, epochs: int, seed: int = 0) -> DataFrame:

@@ -11,11 +11,20 @@ from ..functions import EULER, log_factorial
 from ..shipping import ship
 
 
-def label_pairs(df: DataFrame, features: dict[str, list[str]], target: str) -> DataFrame:
-    """(feature, u, v, n): contingency counts of each named tuple of columns with the target, in one pass."""
+def distinct_counts(df: DataFrame, columns: list[str], name: str = "_count") -> DataFrame:
+    """Distinct tuples of the columns with their count: what label_pairs() needs of a table, however often it is asked."""
+    return df.groupBy(*columns).agg(F.count("*").alias(name))
+
+
+def label_pairs(df: DataFrame, features: dict[str, list[str]], target: str, weight: str | None = None) -> DataFrame:
+    """(feature, u, v, n): contingency counts of each named tuple of columns with the target, in one pass.
+
+    With ``weight`` a row counts as often as that column says (distinct_counts()).
+    """
     key = lambda cols: F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"})
     pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), key(cols).alias("u")) for name, cols in features.items()]))
-    return df.select(pairs.alias("p"), F.col(target).cast("string").alias("v")).groupBy("p.feature", "p.u", "v").agg(F.count("*").alias("n"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    return df.select(pairs.alias("p"), F.col(target).cast("string").alias("v"), times.alias("times")).groupBy("p.feature", "p.u", "v").agg(F.sum("times").alias("n"))
 
 
 def mutual_information(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .hsic import DELTA, RBF, hsic_b
+from .hsic import DELTA, RBF, hsic_b_sets
 from .info import adjusted_mi, label_pairs
 
 
@@ -31,21 +31,22 @@ def haar_permutations(d: int, size: int, seed: int) -> list[tuple[int, ...]]:
     return sorted(found)
 
 
-def ami_metric(df: DataFrame, target: str) -> Callable[[list[tuple[str, ...]]], dict]:
-    """Adjusted MI of many tuples of features with the target, in one plan; class sizes alone reach the formula."""
+def ami_metric(df: DataFrame, target: str, weight: str | None = None) -> Callable[[list[tuple[str, ...]]], dict]:
+    """Adjusted MI of many tuples of features with the target, in one plan; class sizes alone reach the formula. Weights as in label_pairs()."""
 
     def score(sets: list[tuple[str, ...]]) -> dict:
         names = {str(i): list(s) for i, s in enumerate(sets)}
-        return {tuple(sorted(names[r["feature"]])): r["ami"] for r in adjusted_mi(label_pairs(df, names, target)).collect()}
+        return {tuple(sorted(names[r["feature"]])): r["ami"] for r in adjusted_mi(label_pairs(df, names, target, weight)).collect()}
 
     return score
 
 
 def hsic_metric(df: DataFrame, target: list[str], id_col: str, kernel: str = RBF, y_kernel: str = DELTA, block: int = 1000) -> Callable:
-    """Biased HSIC of tuples of features with the target."""
+    """Biased HSIC of many tuples of features with the target, in one plan."""
 
     def score(sets: list[tuple[str, ...]]) -> dict:
-        return {tuple(sorted(s)): hsic_b(df, list(s), target, id_col, kernel, y_kernel, block).first()[0] for s in sets}
+        found = hsic_b_sets(df, sets, target, id_col, kernel, y_kernel, block).collect()
+        return {tuple(sorted(sets[r["set"]])): r["hsic"] for r in found}
 
     return score
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.info import distinct_counts
 from ..operators.sampling import discretise, kind_of
 from ..operators.search import ami_metric, search
 from .selector import Selection, Selector, mi_scores, select
@@ -53,8 +54,8 @@ def categorical_select(df: DataFrame, features: list[str], target: list[str], p:
     found: list[str] = []
     for t in target:
         own = df.withColumn("_y", discretise(df, t)) if kind_of(dict(df.dtypes)[t]) == "continuous" else df.withColumn("_y", F.col(t))
-        own = own.select(*features, "_y").persist()
-        picked = search(features, ami_metric(own, "_y"), p.permutations, p.im_ratio, p.max_iter, p.seed)
+        own = distinct_counts(own, [*features, "_y"]).persist()
+        picked = search(features, ami_metric(own, "_y", "_count"), p.permutations, p.im_ratio, p.max_iter, p.seed)
         own.unpersist()
         found += [f for f in picked if f not in found]
     return found

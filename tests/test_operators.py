@@ -45,6 +45,39 @@ def test_nlars_stops_where_nothing_is_left():
     assert lasso.nlars(np.ones((2, 2)), np.array([1.0, 1.0]), 2)[0][0] == 0
 
 
+def test_hsic_of_many_sets_equals_that_of_each(spark):
+    rng = np.random.default_rng(14)
+    n = 90
+    df = frame(spark, {"a": rng.integers(0, 3, n), "b": rng.integers(0, 4, n), "c": rng.integers(0, 2, n), "y": rng.integers(0, 3, n)})
+    df = df.withColumn("id", df["id"].cast("string"))
+    sets = [("a", "b", "c"), ("c",), ("a",), ("a", "c"), ("b",)]
+    assert [[sets[i] for i in c] for c in hsic.chains(sets)] == [[("c",), ("a", "c"), ("a", "b", "c")], [("a",)], [("b",)]]
+    values = {c: np.array([r[c] for r in df.orderBy(df["id"].cast("int")).collect()], float) for c in "abcy"}
+
+    def gram(cols, kernel):
+        x = np.stack([values[c] for c in cols], 1)
+        if kernel == hsic.RBF:
+            return rbf(x, np.sqrt(len(cols)))
+        same = (x[:, None, :] == x[None, :, :]).all(2)
+        return same / same.sum(1, keepdims=True)
+
+    for kx in (hsic.RBF, hsic.DELTA):
+        for ky in (hsic.RBF, hsic.DELTA):
+            got = {sets[r["set"]]: r["hsic"] for r in hsic.hsic_b_sets(df, sets, ["y"], "id", kx, ky, block=40).collect()}
+            want = {s: (centred(gram(s, kx)) * centred(gram(("y",), ky))).sum() / n**2 for s in sets}
+            assert got == pytest.approx(want, rel=1e-9), (kx, ky)
+    assert hsic.hsic_b_sets(df.limit(0), sets, ["y"], "id").count() == 0
+    assert hsic.hsic_b(df.limit(0), ["a"], ["y"], "id").collect()[0][0] is None
+
+
+def test_weighted_pairs_equal_those_of_the_rows(spark):
+    rng = np.random.default_rng(15)
+    df = frame(spark, {"a": rng.integers(0, 3, 200), "b": rng.integers(0, 4, 200), "y": rng.integers(0, 2, 200)})
+    sets = {"0": ["a"], "1": ["a", "b"]}
+    counted = info.label_pairs(info.distinct_counts(df, ["a", "b", "y"]), sets, "y", "_count")
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, info.label_pairs(df, sets, "y").collect()))
+
+
 def test_hsic_of_all_kernels_equals_the_trace(spark):
     rng = np.random.default_rng(4)
     n = 130
