@@ -334,15 +334,15 @@ def packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def id_lists(bpe: WordBpe, texts: list[str], end: int | None = None, library: bool = False) -> pa.ListArray:
-    """The ids of each text, and ``end`` after them, as an Arrow list array; words by the trie or by the library.
+def id_lists(bpe: WordBpe, texts: list[str], end: int | None = None, library: bool = False, keep: int = KEPT_WORDS) -> pa.ListArray:
+    """The ids of each text, and ``end`` after them, as an Arrow list array; words by the trie or by the library, ``keep`` of them at most kept between calls.
 
     Words become codes of a dictionary, whose ids lie in one array; each text gathers its own.
     """
     cut = list(map(bpe.pieces, texts))
     flat = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
     words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-    (of,) = bpe.table(packed, library=library).cover(set(words))
+    (of,) = bpe.table(packed, library=library, keep=keep).cover(set(words))
     parts = [of[w] for w in words]
     counts = np.array([len(p) // 4 for p in parts], np.int64)
     ids, sizes = np.frombuffer(b"".join(parts), "<i4"), counts[codes]

@@ -28,6 +28,8 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
+#: Words that a worker keeps: twice those of the encoder with digests, since here a word has packed ids alone (about 200 bytes).
+KEPT_WORDS = 400_000
 
 
 def _encode(path: str, end_id: int):
@@ -37,7 +39,7 @@ def _encode(path: str, end_id: int):
         bpe, part, first = loaded(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for start, texts in chunks(batch, "text"):
-                tokens = id_lists(bpe, texts, end_id, library=True)
+                tokens = id_lists(bpe, texts, end_id, library=True, keep=KEPT_WORDS)
                 at = tokens.offsets.to_numpy().astype(np.int64)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), batch.column(0).slice(start, n), pa.array(first + at[:-1]), pa.array(np.diff(at)), tokens], ["part", "doc_id", "first", "n_tokens", "tokens"])
