@@ -46,7 +46,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: starts anew. Results do not depend on it.
 KEPT_WORDS, KEPT_WINDOWS, KEPT_PAIRS = 200_000, 200_000, 400_000
 WINDOW = 4
-#: The words of one call of the library: sorted and few of them, its memory stays close (3.3 against 4.2 microseconds a word).
+#: The words of one call of the library, sorted: a few percent less time than 4096 in any order, as measured.
 LIBRARY_WORDS = 128
 
 
