@@ -150,6 +150,32 @@ def test_wrapped_headers_and_whole_license_texts(spark):
     assert got == {f"s/{name}-{i}.c": name for name, texts in cases.items() for i in range(len(texts))}
 
 
+def test_licenses_are_scored_by_term_frequencies(spark):
+    """Against plain TF-IDF cosines: a term weighs as often as it occurs, in templates and in texts."""
+    import math
+    import re
+    from collections import Counter
+
+    T = licenses.TEMPLATES
+    terms = lambda text: Counter(t for t in re.split(r"[^a-z0-9]+", text.lower()) if t)
+    texts = ["The MIT License (MIT)", "MIT MIT MIT MIT one two three four five six seven eight", "Released under the MIT License, alpha alpha alpha alpha alpha alpha", T["Apache-2.0"][2], T["Apache-2.0"][3], T["MIT"][4], T["BSD-2-Clause"][2]]
+    known = [(name, terms(t)) for name, ts in T.items() for t in ts]
+    vocabulary = set().union(*(t for _, t in known))
+    own = [terms(t) for t in texts]
+    collection = [t for t in own if len(t.keys() & vocabulary) >= licenses.THRESHOLD**2 * len(t)] + [t for _, t in known]
+    df = Counter(t for c in collection for t in c)
+    idf = lambda t: math.log((1 + len(collection)) / (1 + (df[t] if t in vocabulary else 1))) + 1
+    norm = lambda c: math.sqrt(sum((n * idf(t)) ** 2 for t, n in c.items()))
+    want = []
+    for c in own:
+        score, name = max((round(sum(n * k[t] * idf(t) ** 2 for t, n in c.items()) / norm(c) / norm(k), 9), name) for name, k in known)
+        want.append((name, score) if score >= licenses.THRESHOLD else (None, None))
+    assert want[1][0] == "MIT" and want[2][0] is None and len({n for n, _ in want}) == 4
+    rows = licenses.license_scan(spark.createDataFrame([(f"{i}/x.c", t) for i, t in enumerate(texts)], "path string, text string")).orderBy("path").collect()
+    assert [r["license"] for r in rows] == [n for n, _ in want]
+    assert all(s is None or math.isclose(r["license_score"], s, abs_tol=2e-9) for r, (_, s) in zip(rows, want))
+
+
 def test_licenses_of_long_texts(spark):
     rows = [("a/b/c/d.txt", "word " * 400_000 + "\nReleased under the MIT License.\n" + "x\n" * 100_000), ("LICENSE", "Licensed under CC BY 4.0."), ("a/b/x.txt", "word " * 10)]
     got = {r["path"]: (r["license"], r["license_from"]) for r in licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
