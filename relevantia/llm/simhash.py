@@ -39,6 +39,8 @@ SEED = 42
 SAMPLE, POINTS = 65_536, 32
 #: Distinct fingerprints that a shard should have about: the least, and from LARGE_SHARD * SPREAD fingerprints on the most.
 SHARD, LARGE_SHARD, SPREAD = 2048, 65_536, 512
+#: Edges that a task of a round of stars writes at least, where the session's tasks at once could write more files.
+EDGES = 65_536
 _HALVES = (0, 32)
 
 
@@ -245,7 +247,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of edges (u, v): root is the smallest node of the component. Alternating large and small stars."""
+    """(node, root) of all nodes of edges (u, v): root is the smallest node of the component. Alternating large and small stars.
+
+    A round is written by as many tasks as its edges need, not by one for each shuffle
+    partition: few edges in hundreds of files cost each executor a writer and processes a file.
+    """
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
@@ -253,12 +259,13 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or state[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state
+        tasks = max(now.sparkSession.sparkContext.defaultParallelism, state[0] // EDGES)
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        now = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(tasks), "edges")
 
 
 def _classes(fps: DataFrame, radius: int) -> DataFrame:

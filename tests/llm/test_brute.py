@@ -97,6 +97,38 @@ def test_shards_stay_bounded(monkeypatch):
         assert together == set(zip(r.tolist(), c.tolist()))
 
 
+def test_rounds_of_few_edges_write_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are; the components stay those of all edges."""
+    written = []
+
+    def counted(df, name):
+        written.append(common.staged(df, name))
+        return written[-1]
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (2500, 2))] + [(0, i) for i in range(5000, 6000)] + [(i, i + 1) for i in range(7000, 7050)]
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    root = {i: i for p in pairs for i in p}
+    for _ in root:
+        new = dict(root)
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            break
+        root = new
+    assert got == {i: r for i, r in root.items() if any(i in p and p[0] != p[1] for p in pairs)}
+    assert len(written) > 3 and all(len(df.inputFiles()) <= spark.sparkContext.defaultParallelism for df in written[1:])
+
+
 def library():
     from tokenizers import Tokenizer
 
