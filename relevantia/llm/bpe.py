@@ -13,7 +13,8 @@ the vocabulary once, as is whether two tokens stay separate side by side.
 
 Texts are cut into words as the tokenizer file says: canonical composition, white
 space, lower case and the cut pattern. The library's own normaliser and splitter do it
-wherever a text holds a character for which Python and the library could differ.
+wherever a text holds a character for which Python and the library could differ. Lists
+of ids are made from plain texts by their bytes, all texts of a chunk at once.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,12 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: starts anew. Results do not depend on it.
 KEPT_WORDS, KEPT_WINDOWS, KEPT_PAIRS = 200_000, 200_000, 400_000
 WINDOW = 4
-#: The words of one call of the library, sorted: a few percent less time than 4096 in any order, as measured.
+#: What a byte belongs to; _PAST: a character that is not plain.
+_SPACE, _LETTER, _NUMBER, _SIGN, _PAST = range(5)
+#: The words of one call of the library.
 LIBRARY_WORDS = 128
+#: The bytes of the words in a table of ids: long words never overflow its offsets.
+KEPT_BYTES = 64 << 20
 
 
 def word_file() -> str:
@@ -69,6 +75,24 @@ def _byte_letters() -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _byte_tables() -> tuple[np.ndarray, ...]:
+    """Of plain characters, kind and lower case: by byte for one byte, by the last 11 bits of the code point for two, kind alone by its last 12 bits for three bytes that begin with E2."""
+    kind1, low1 = np.full(256, _PAST, np.uint8), np.arange(256, dtype=np.uint8)
+    kind2, low2 = np.full(1 << 11, _PAST, np.uint8), np.zeros((1 << 11, 2), np.uint8)
+    kind3 = np.full(1 << 12, _PAST, np.uint8)
+    for c in _CHARS:
+        own, low = c.encode(), c.lower().encode()
+        kind = _SPACE if c.isspace() else _LETTER if c in _LETTERS else _NUMBER if c in _NUMBERS else _SIGN
+        if len(own) == len(low) == 1:
+            kind1[ord(c)], low1[ord(c)] = kind, low[0]
+        elif len(own) == len(low) == 2:
+            kind2[ord(c)], low2[ord(c)] = kind, list(low)
+        elif own == low and own[0] == 0xE2:
+            kind3[ord(c) & 0xFFF] = kind
+    return kind1, low1, kind2, low2, kind3
+
+
 def _ended(symbols: str) -> str:
     return symbols[:-1] + chr(256 + ord(symbols[-1]))
 
@@ -141,6 +165,7 @@ class WordBpe:
         self._fits: dict[int, dict[int, bool]] = {}
         self._n_fits = 0
         self._tables: dict[Any, Words] = {}
+        self._word_ids: dict[Any, WordIds] = {}
         self._ends: np.ndarray | None = None
 
     def _apart(self, left: int, right: int) -> bool:
@@ -241,8 +266,72 @@ class WordBpe:
                 out.extend(self.words(part))
         return out
 
-    def library_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-        """Each distinct word with its packed ids, by the tokenizers library: words in a row, parted by spaces; each ends in a token with the end mark.
+    def all_pieces(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """The pieces of all texts in a row, as pieces() has them, and where each text's begin (one more than texts). No text is null.
+
+        Plain texts are cut by their bytes: a piece begins where the kind of character
+        changes, at each number and at the start of a text.
+        """
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at -= at[0]
+        if not len(raw):
+            return pa.array([], pa.string()), np.zeros(len(at), np.int64)
+        kind1, low1, kind2, low2, kind3 = _byte_tables()
+        kind, low = kind1[raw], low1[raw]
+        lead = np.flatnonzero(raw >= 0xC0)
+        two = lead[raw[lead] < 0xE0]
+        code = (raw[two].astype(np.int32) & 0x1F) << 6 | raw[two + 1] & 0x3F
+        kind[two] = kind[two + 1] = kind2[code]
+        # Characters that are not plain have no lower case here: their texts are left out below.
+        low[two], low[two + 1] = low2[code].T
+        three = lead[raw[lead] == 0xE2]
+        code = (raw[three + 1].astype(np.int32) & 0x3F) << 6 | raw[three + 2] & 0x3F
+        kind[three] = kind[three + 1] = kind[three + 2] = kind3[code]
+
+        special = np.flatnonzero(raw[:-1] == ord("<"))
+        special = special[raw[special + 1] == ord("|")]
+        past = np.unique(np.searchsorted(at, np.concatenate([np.flatnonzero(kind == _PAST), special]), "right") - 1)
+        for i in past.tolist():
+            kind[at[i] : at[i + 1]] = _SPACE
+
+        begins = np.empty(len(raw), bool)
+        begins[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= (kind == _NUMBER) & (raw & 0xC0 != 0x80)
+        begins[at[:-1][at[:-1] < len(raw)]] = True
+        self._shorten(low, begins, at)
+        solid = kind != _SPACE
+        begins &= solid
+        data = low[solid]
+        starts = np.flatnonzero(begins[solid])
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
+        first = np.searchsorted(np.flatnonzero(begins), at)
+        if not len(past):
+            return words, first
+        cut = [self.pieces(texts[i].as_py()) for i in past.tolist()]
+        counts = np.diff(first)
+        rows = np.concatenate([np.repeat(np.arange(len(texts)), counts), np.repeat(past, [*map(len, cut)])])
+        counts[past] = [*map(len, cut)]
+        words = pa.concat_arrays([words, pa.array(chain.from_iterable(cut), pa.string())])
+        return words.take(pa.array(np.argsort(rows, kind="stable"))), np.concatenate([[0], np.cumsum(counts)])
+
+    @staticmethod
+    def _shorten(low: np.ndarray, begins: np.ndarray, at: np.ndarray) -> None:
+        """In begins, an apostrophe that begins a piece takes s, t, m, d, re, ve or ll with it."""
+        signs = np.flatnonzero((low == ord("'")) & begins)
+        ends = at[np.searchsorted(at, signs, "right")]
+        # Beyond the end: no letter.
+        one = np.where(signs + 1 < ends, low[np.minimum(signs + 1, len(low) - 1)], 0)
+        two = np.where(signs + 2 < ends, low[np.minimum(signs + 2, len(low) - 1)], 0)
+        short = np.isin(one, list(b"stmd"))
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        begins[signs[short | long] + 1] = False
+        after = np.concatenate([signs[short] + 2, signs[long] + 3])
+        begins[after[after < len(low)]] = True
+
+    def library_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row and how many each has, by the tokenizers library: words parted by spaces; each ends in a token with the end mark.
 
         Words come normalised, and normalising again could change them (lower-casing can leave
         what composes anew), so that the library's tokenizer here has no normaliser.
@@ -250,14 +339,20 @@ class WordBpe:
         if self._ends is None:
             self._ends = np.zeros(max(self.tokens) + 1, bool)
             self._ends[[i for t, i in self.vocab.items() if t.endswith(self.end)]] = True
-        every = sorted(words)
-        for at in range(0, len(every), LIBRARY_WORDS):
-            some = every[at : at + LIBRARY_WORDS]
-            ids = np.array(self._cut_words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<i4")
-            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
-            if len(ends) != len(some):
-                raise ValueError("the library cuts words otherwise")
-            yield from zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)))
+        at = np.append(np.arange(0, len(words), LIBRARY_WORDS), len(words)).astype(np.int32)
+        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), words), " ").to_pylist()
+        ids = [np.array(self._cut_words.encode_batch_fast([r], add_special_tokens=False)[0].ids, np.int32) for r in rows]
+        ends = [np.flatnonzero(self._ends[x]) for x in ids]
+        if [*map(len, ends)] != np.diff(at).tolist():
+            raise ValueError("the library cuts words otherwise")
+        # Each call's ids end with a word's end.
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *(np.diff(e, prepend=-1) for e in ends)])
+
+    def trie_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by encode_words()."""
+        of = dict(self.encode_words(words.to_pylist()))
+        lists = [of[w] for w in words.to_pylist()]
+        return np.array([*chain.from_iterable(lists)], np.int32), np.array([*map(len, lists)], np.int64)
 
     def table(self, *forms: Callable[[list[int]], Any], library: bool = False, keep: int = KEPT_WORDS) -> Words:
         """The table of these forms, kept between batches."""
@@ -266,6 +361,12 @@ class WordBpe:
             self._tables[key] = Words(self, forms, library, keep)
         return self._tables[key]
 
+    def word_ids(self, library: bool, keep: int) -> WordIds:
+        """The table of ids, kept between batches."""
+        if (library, keep) not in self._word_ids:
+            self._word_ids[library, keep] = WordIds(self, library, keep)
+        return self._word_ids[library, keep]
+
     def encode(self, text: str) -> list[int]:
         (cut,), (ids,) = self.table(list).take([text])
         return [i for piece in cut for i in ids[piece]]
@@ -288,7 +389,7 @@ class Words:
     def cover(self, every: set[str]) -> list[dict[str, Any]]:
         """A dict by word for each form; they have every one of these words.
 
-        library: words by library_words() instead of the trie; the form is then packed().
+        library: words by library_words() instead of the trie.
         """
         new = every.difference(self.of[0])
         if len(self.of[0]) + len(new) > self.keep:
@@ -298,13 +399,15 @@ class Words:
         new -= special
         for form, have in zip(self.forms, self.of):
             have.update((w, form([self.bpe.special[w]])) for w in special)
+        pairs = list(zip(self.forms, self.of))
         if self.library:
-            self.of[0].update(self.bpe.library_words(new))
+            ids, sizes = self.bpe.library_words(pa.array(new, pa.string()))
+            lists = zip(new, map(np.ndarray.tolist, np.split(ids, np.cumsum(sizes)[:-1])))
         else:
-            pairs = list(zip(self.forms, self.of))
-            for word, ids in self.bpe.encode_words(new):
-                for form, have in pairs:
-                    have[word] = form(ids)
+            lists = self.bpe.encode_words(new)
+        for word, ids in lists:
+            for form, have in pairs:
+                have[word] = form(ids)
         return self.of
 
     def take(self, texts: list[str]) -> tuple[list[list[str]], list[dict[str, Any]]]:
@@ -313,6 +416,39 @@ class Words:
         return cut, self.cover(set().union(*cut))
 
 
+class WordIds:
+    """A table of words and special tokens with their ids as arrays; each word is encoded once, by the library or the trie."""
+
+    def __init__(self, bpe: WordBpe, library: bool, keep: int):
+        self.encode, self.keep = bpe.library_words if library else bpe.trie_words, keep
+        self.special = pa.array(bpe.special, pa.string())
+        self.words, self.ids, self.sizes = self.special, np.array([*bpe.special.values()], np.int32), np.ones(len(bpe.special), np.int64)
+
+    def find(self, words: pa.StringArray) -> np.ndarray:
+        """Where in ``sizes`` each of these distinct words is; what was found before no longer holds."""
+        known = pc.index_in(words, value_set=self.words)
+        at = known.fill_null(-1).to_numpy().astype(np.int64)
+        if not known.null_count:
+            return at
+        new, more = at < 0, words.filter(known.is_null())
+        if len(self.words) + len(more) > self.keep or self.words.nbytes + more.nbytes > KEPT_BYTES:
+            # Words that this batch has are likely to come again; special tokens stay.
+            kept = np.union1d(np.arange(len(self.special)), at[~new])
+            self.ids, self.words, self.sizes = self.take(kept), self.words.take(pa.array(kept)), self.sizes[kept]
+            at[~new] = np.searchsorted(kept, at[~new])
+        at[new] = len(self.words) + np.arange(len(more))
+        ids, sizes = self.encode(more)
+        self.words, self.ids, self.sizes = pa.concat_arrays([self.words, more]), np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        return at
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, in a row."""
+        sizes = self.sizes[at]
+        # Where each word's ids begin in the table, less where they begin in the result.
+        shift = np.repeat((np.cumsum(self.sizes) - self.sizes)[at] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[np.arange(len(shift)) + shift]
+
+
 @lru_cache(maxsize=2)
 def loaded(path: str) -> WordBpe:
     return WordBpe(path)
@@ -336,23 +472,28 @@ def packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def id_lists(bpe: WordBpe, texts: list[str], end: int | None = None, library: bool = False, keep: int = KEPT_WORDS) -> pa.ListArray:
+def slices(batch: pa.RecordBatch, column: str, size: int = 4_000_000) -> Iterator[tuple[int, pa.StringArray]]:
+    """Runs of rows with about so many bytes, by first row; null is empty."""
+    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(at, int(at[start]) + size)))
+        yield start, texts.slice(start, min(end, len(texts)) - start)
+        start = end
+
+
+def id_lists(bpe: WordBpe, texts: pa.StringArray, end: int | None = None, library: bool = False, keep: int = KEPT_WORDS) -> pa.ListArray:
     """The ids of each text, and ``end`` after them, as an Arrow list array; words by the trie or by the library, ``keep`` of them at most kept between calls.
 
     Words become codes of a dictionary, whose ids lie in one array; each text gathers its own.
     """
-    cut = list(map(bpe.pieces, texts))
-    flat = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
-    words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-    (of,) = bpe.table(packed, library=library, keep=keep).cover(set(words))
-    parts = [of[w] for w in words]
-    counts = np.array([len(p) // 4 for p in parts], np.int64)
-    ids, sizes = np.frombuffer(b"".join(parts), "<i4"), counts[codes]
-    # Where each piece begins in the result, less where its word begins among the ids.
-    ends = np.cumsum(sizes)
-    shift = np.repeat((np.cumsum(counts) - counts)[codes] - (ends - sizes), sizes)
-    out = ids[np.arange(len(shift)) + shift]
-    at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+    cut, first = bpe.all_pieces(texts)
+    flat, table = cut.dictionary_encode(), bpe.word_ids(library, keep)
+    words = table.find(flat.dictionary)[flat.indices.to_numpy()]
+    out, at = table.take(words), np.concatenate([[0], np.cumsum(table.sizes[words])])[first]
     if end is not None:
         out, at = np.insert(out, at[1:], end), at + np.arange(len(at))
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out.astype(np.int32, copy=False)))
@@ -391,7 +532,7 @@ def _encode(path: str):
     def run(batches):
         bpe = loaded(path)
         for batch in batches:
-            for start, texts in chunks(batch, "text"):
+            for start, texts in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), id_lists(bpe, texts)], [batch.schema.field(0).name, "ids"])
 
     return run

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .bpe import chunks, id_lists, loaded, word_file
+from .bpe import id_lists, loaded, slices, word_file
 from .common import shared_path, table, text_of
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 1000
-#: Words that a worker keeps: twice those of the encoder with digests, since here a word has packed ids alone (about 200 bytes).
+#: Words that a worker keeps: twice those of the encoder with digests, since here words and ids lie in arrays.
 KEPT_WORDS = 400_000
 
 
@@ -38,7 +38,7 @@ def _encode(path: str, end_id: int):
 
         bpe, part, first = loaded(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start, texts in chunks(batch, "text"):
+            for start, texts in slices(batch, "text"):
                 tokens = id_lists(bpe, texts, end_id, library=True, keep=KEPT_WORDS)
                 at = tokens.offsets.to_numpy().astype(np.int64)
                 n = len(texts)

@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -205,6 +206,34 @@ def test_ids_as_rows_and_back(spark, texts):
     assert [r["decoded"] for r in odd] == [None, "", t.decode([320], skip_special_tokens=False)]
 
 
+def test_lists_of_ids_cut_plain_texts_all_at_once(monkeypatch):
+    """Texts in a row give each text's own pieces and the library's ids, at any size of the table; only texts that are not plain are cut one by one."""
+    own, t, r = bpe.WordBpe(bpe.word_file()), library(), random.Random(4)
+    plain = [*bpe._CHARS, *"''stmdrevlSTMDREVL    \n<>"]
+    odd = [*plain, *"İſŉ\u0301日😀\x00\x1c\x85\xa0\u200bΣςÅﬁ•→\xadß", "<|endoftext|>", "<|"]
+    texts = ["", "it's we'll 'sx !'s ''s 'S'", "'", "s", "", "12½³ x'REason l'l", "’s — €5 „a“", "a\u0301", "x" * 5000, "é<|endoftext|>'d", ""]
+    texts += ["".join(r.choices(odd if k % 3 == 2 else plain, k=r.choice([0, 1, 2, 3, 5, 40]))) for k in range(3000)]
+    want, each, one, called = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)], list(map(own.pieces, texts)), own.pieces, []
+    monkeypatch.setattr(own, "pieces", lambda text: called.append(text) or one(text))
+    batch = pa.record_batch([pa.array([None, *texts])], ["text"]).slice(1)
+    for size in (1, 300, 1 << 20):
+        at = 0
+        for start, some in bpe.slices(batch, "text", size):
+            words, first = own.all_pieces(some)
+            assert start == at and [words[a:b].to_pylist() for a, b in zip(first[:-1].tolist(), first[1:].tolist())] == each[at : at + len(some)]
+            at += len(some)
+        assert at == len(texts)
+    assert called and not [x for x in called if bpe._PLAIN.fullmatch(x) and "<|" not in x]
+    for way in ({"library": True}, {"library": True, "keep": 40}, {"library": False}, {"library": False, "keep": 40}):
+        got = [ids for _, some in bpe.slices(batch, "text", 300) for ids in bpe.id_lists(own, some, 2, **way).to_pylist()]
+        assert got == [[*ids, 2] for ids in want], way
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 100)
+    got = [ids for _, some in bpe.slices(batch, "text", 300) for ids in bpe.id_lists(own, some, library=True, keep=10**6).to_pylist()]
+    assert got == want
+    assert bpe.id_lists(own, pa.array([None, ""], pa.string()).fill_null(""), 2, library=True).to_pylist() == [[2], [2]]
+    assert list(bpe.slices(batch.slice(0, 0), "text")) == []
+
+
 def test_token_store(spark, small, texts):
     t, start = library(), 0
     got = by_id(queries()["op4_token_store"](spark, small))
