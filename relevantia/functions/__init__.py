@@ -30,3 +30,15 @@ def log_factorial(k: Column) -> Column:
     series = x * F.log(x) - x + 0.5 * F.log(2.0 * math.pi * x) + (1.0 / 12 - r * (1.0 / 360 - r * (1.0 / 1260 - r / 1680))) / x
     table = F.array(*map(F.lit, _SMALL))
     return F.when(k < len(_SMALL), F.get(table, F.least(k, F.lit(len(_SMALL) - 1)).cast("int"))).otherwise(series)
+
+
+def digamma(n: Column) -> Column:
+    """At positive integers: the harmonic sum less Euler's constant, by a table below 16 and its asymptotic series, exact to double precision, from there on."""
+    table, total = [], -EULER
+    for i in range(1, 17):
+        table.append(total)
+        total += 1.0 / i
+    x = F.greatest(n, F.lit(len(table))).cast("double")
+    r = 1.0 / (x * x)
+    series = F.log(x) - 0.5 / x - r * (1.0 / 12 - r * (1.0 / 120 - r * (1.0 / 252 - r * (1.0 / 240 - r / 132))))
+    return F.when(n <= len(table), F.get(F.array(*map(F.lit, table)), F.least(n, F.lit(len(table))).cast("int") - 1)).otherwise(series)
