@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pairs of rows that one task makes.
+PAIRS = 1 << 19
+
 
 def long_form(df: DataFrame, features: list[str], id_col: str = "id", mb: str = "mb", cast: str = "double") -> DataFrame:
     """(mb, i, feature, x) of each feature."""
@@ -17,6 +20,9 @@ def long_form(df: DataFrame, features: list[str], id_col: str = "id", mb: str =
 
 
 def _paired(a: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Pairs of rows of equal keys, in tasks of PAIRS pairs or so: by the rows before the join, far fewer, Spark would deal them to too few."""
+    pairs = a.groupBy(*keys).count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+    a = a.repartition(max(1, -(-pairs // PAIRS)), *keys)
     b = a.select(*keys, F.col("i").alias("j"), F.col(value).alias("_other"))
     return a.join(b, keys)
 
