@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +33,14 @@ def log_factorial(k: Column) -> Column:
     return F.when(k < len(_SMALL), F.get(table, F.least(k, F.lit(len(_SMALL) - 1)).cast("int"))).otherwise(series)
 
 
+def log_factorials(k: np.ndarray) -> np.ndarray:
+    """log_factorial() of an array."""
+    x = np.maximum(k, len(_SMALL)).astype(float)
+    r = 1.0 / (x * x)
+    series = x * np.log(x) - x + 0.5 * np.log(2.0 * math.pi * x) + (1.0 / 12 - r * (1.0 / 360 - r * (1.0 / 1260 - r / 1680))) / x
+    return np.where(k < len(_SMALL), np.array(_SMALL)[np.minimum(k, len(_SMALL) - 1)], series)
+
+
 def digamma(n: Column) -> Column:
     """At positive integers: the harmonic sum less Euler's constant, by a table below 16 and its asymptotic series, exact to double precision, from there on."""
     table, total = [], -EULER

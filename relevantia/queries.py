@@ -280,8 +280,11 @@ def q_haar_permutations(spark, d):
 
 
 def q_ami_search(spark, d):
-    o = o_table(spark, d).withColumn("y", F.col("status") * 10 + F.col("priority")).select("status", "priority", "segment", "nation", "y")
-    found = search.search(["status", "priority", "segment", "nation"], search.ami_metric(o, "y"), 1, seed=3)
+    o = o_table(spark, d).withColumn("y", F.col("status") * 10 + F.col("priority"))
+    names = ["status", "priority", "segment", "nation"]
+    o = info.distinct_counts(o, [*names, "y"]).persist()
+    found = search.search(names, search.ami_metric(o, "y", "_count"), 1, seed=3)
+    o.unpersist()
     return spark.createDataFrame([(f,) for f in found], "feature string")
 
 
